@@ -272,7 +272,7 @@ def wrong_or_missing(records: DataFrame, key: str, text: str, topic: str, label:
     scored = scored.withColumn("langs", F.sort_array(F.array_distinct(F.transform("found", lambda s: s["lang"]))))
     scored = scored.select("id", "version", "label", "topic", "langs", ((F.col("words") >= PROSE_WORDS) & (F.col("plain") >= PROSE_SHARE)).alias("prose"))
     both = segment_languages(scored, "topic", model, TOPIC_WORDS, whole=True)
-    both = both.select("id", "version", "label", "langs", "prose", F.col("found")[0]["lang"].alias("topic"))
+    both = both.select("id", "version", "label", "langs", "prose", F.get("found", F.lit(0))["lang"].alias("topic"))
     current = both.groupBy("id").agg(F.max(F.struct("version", "label", "langs", "prose", "topic")).alias("m")).select("id", "m.*").filter("prose")
     odd = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
     rows = F.concat(

@@ -94,7 +94,7 @@ with l as (select id, content_hash, recall_count, confidence, importance, create
 u as (select id, content_hash, case when recall_count >= 0 then recall_count end as rc,
              case when confidence between 0 and 1 and not isnan(confidence) then confidence end as cf,
              case when importance between 1 and 5 then importance end as im,
-             case when created_at >= '2023-01-01+00'::timestamptz and created_at < '2026-07-01+00'::timestamptz then created_at end as cr from l),
+             case when created_at >= '2023-01-01 00:00:00+00'::timestamptz and created_at < '2026-07-01 00:00:00+00'::timestamptz then created_at end as cr from l),
 g as (select *, count(*) over (partition by content_hash) as n,
              first_value(id) over (partition by content_hash order by rc desc nulls last, cf desc nulls last, im desc nulls last, cr nulls last, id) as lesson_id,
              first_value(case when rc is not null then id end) over (partition by content_hash order by rc desc nulls last, id) as recall_id,

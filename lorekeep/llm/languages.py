@@ -4,7 +4,8 @@ A bounded sample of labelled texts trains several clustered centroids per langua
 vector is the sum of the normalised TF-IDF n-gram vectors of its words; it gets the language of the
 centroid with the greatest cosine, unless that is too far (rejection). Because the vector is a sum
 over words, a worker needs only each word's products with the centroids and a short sketch for the
-norm, and keeps them for words it has seen.
+norm, and keeps them for words it has seen. A word counts once in a segment, so that an article
+repeated in it doesn't outweigh the others.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ SPELLINGS = {
 #: Labelled texts per language the centroids are fitted on, at most.
 SAMPLE = 160
 #: Width of the hashed n-gram space, centroids per language, rounds of outlier removal and clustering.
-DIM, CLUSTERS, ROUNDS = 2048, 3, 4
-GRAMS = (1, 2, 3)
+DIM, CLUSTERS, ROUNDS = 4096, 3, 4
+GRAMS = (2, 3)
+#: A whole word counts so many times as one of its n-grams.
+WORD_TIMES = 2
 SKETCH = 64
 #: A segment counts with so many plain words at least; a topic with fewer.
 SEGMENT_WORDS, TOPIC_WORDS = 4, 3
@@ -59,13 +62,13 @@ def label_code(label: Column) -> Column:
 
 
 def plain_words(segment: str) -> list[str]:
-    """Words of letters only: names with digits or hyphens, paths and codes are left out."""
-    out = []
+    """Distinct words of letters only: names with digits or hyphens, paths and codes are left out."""
+    out = {}
     for t in segment.replace("'", " ").replace("’", " ").split():
         w = t.strip(OUTER)
         if w.isalpha():
-            out.append(w.lower())
-    return out
+            out[w.lower()] = None
+    return list(out)
 
 
 def segments(text: str) -> list[list[str]]:
@@ -77,7 +80,7 @@ def segments(text: str) -> list[list[str]]:
 
 def _grams(word: str) -> list[str]:
     w = f"_{word}_"
-    return [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + [w]
+    return [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + [w] * WORD_TIMES
 
 
 def _slot(gram: str) -> int:
@@ -185,8 +188,8 @@ class _Scorer:
         if len(self.at) > KEPT_WORDS:
             self.at = {}
         fresh = [w for w in unique if w not in self.at]
-        for s in range(0, len(fresh), 2048):
-            part = fresh[s : s + 2048]
+        for s in range(0, len(fresh), 512):
+            part = fresh[s : s + 512]
             n = len(self.at)
             while n + len(part) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -221,7 +224,7 @@ def segment_languages(texts: DataFrame, text: str, model: Model, least_words: in
             for i, t in enumerate(b.column(text).to_pylist()):
                 own = segments(t or "")
                 if whole:
-                    own = [[w for s in own for w in s]]
+                    own = [list(dict.fromkeys(w for s in own for w in s))]
                 raw = len((t or "").split())
                 share.append(sum(map(len, own)) / raw if raw else 0.0)
                 # The count of distinct words matters only where it is small.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import components as groups
-from lorekeep.llm import languages, leakage, rank_fusion, representatives
+from lorekeep.llm import languages, leakage, quality, rank_fusion, representatives
 from lorekeep.llm import near_duplicates as near
 from lorekeep.llm import similar_vectors as vectors
 from lorekeep.sources.tables import current_lessons, latest, table
@@ -149,3 +149,17 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     lessons = table(spark, base, "agent_lesson").select("id", "updated_at", "lesson_text", "topic", F.get_json_object("metadata", "$.lang").alias("lang"))
     model = languages.train(lessons, "lesson_text", "lang")
     return languages.wrong_or_missing(lessons, "id", "lesson_text", "topic", "lang", model, "updated_at").withColumnRenamed("id", "lesson_id")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that are not prose, and what they are instead."""
+    stats = quality.statistics(table(spark, base, "documents"), "doc_id", "text")
+    return quality.kinds(stats).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query("p9_statistics")
+def p9_statistics(spark: SparkSession, base: str) -> DataFrame:
+    """All statistics of each document, its kind, and the prose rules it fails."""
+    stats = quality.statistics(table(spark, base, "documents"), "doc_id", "text")
+    return quality.reasons(quality.kinds(stats)).withColumn("reasons", F.array_join("reasons", "; "))

@@ -48,6 +48,8 @@ _TABLE = rf"(?m)^(?:{_ROW})[ \t]*$"
 _BROKEN = r"[�ÂÃ¢½¿ï°™€]"
 _MARKUP = r"</?[A-Za-z!][^<>\n]{0,300}>|\{[^{}\n]{0,80}\}"
 _BLOB = r"[A-Za-z0-9+/=_-]{32,}"
+_MARKS = tuple("|-*•–—+=:>#")
+_VOWELS = r"[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýаеёиоуыэюя]+"
 _CODE = r"\(cid:\d+\)|\\[ux][0-9a-fA-F]{2,4}"
 
 
@@ -82,9 +84,10 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
         F.col("n_lines"),
         _share(F.col("dense"), words).alias("mean_word_length"),
         _share(F.size(F.array_distinct("tokens")), words).alias("distinct_words"),
-        _share(F.size(F.filter("tokens", lambda w: F.length(w) == 1)), words).alias("single_letters"),
+        _share(F.size(F.filter("tokens", lambda w: (F.length(w) == 1) & ~w.isin(*_MARKS))), words).alias("single_letters"),
         _share(F.size(F.filter("tokens", lambda w: w.isin(*common))), words).alias("common_words"),
         _share(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.col("dense")).alias("letters"),
+        _share(_left(F.lower(t), _VOWELS), F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))).alias("vowels"),
         _share(F.col("dense") - _left(t, r"[\s#{}<>|\\~^*_=\[\]@$&%+]+"), words).alias("symbols_per_word"),
         _share(F.regexp_count(t, F.lit(r"(?m)[.!?:\"'»”)\]][ \t]*$")), F.col("n_lines")).alias("punctuated_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)^[ \t]*(?:[-*+•–—‣◦]|\d{1,3}[.)]|\[[ xX]\])[ \t]")), F.col("n_lines")).alias("bullet_lines"),
@@ -129,11 +132,14 @@ def kinds(s: DataFrame) -> DataFrame:
             c("blob_text") >= MOST,
             c("broken_text") >= 0.2,
             (c("markup_text") >= MOST) & (c("table_text") < MOST),
-            (c("single_letters") >= 0.6) & (c("n_words") >= 20) & (c("table_text") < MOST),
+            (c("single_letters") >= 0.6) & (c("n_words") >= 20),
+            (c("vowels") < 0.2) & (c("letters") >= MOST) & (c("n_words") >= 5) & (c("table_text") < MOST),
             (c("letters") < 0.35) & (c("table_text") < MOST) & (c("entry_text") < MOST),
             (c("distinct_words") < 0.12) & (c("n_words") >= 20) & (c("distinct_words") * c("n_words") <= 40),
         ),
     )
-    table = c("table_text") >= MOST
+    # Justified prose has wide gaps as aligned cells have, but it keeps its sentences.
+    sentences = (c("common_words") >= 0.15) & (c("punctuated_lines") >= MOST)
+    table = (c("table_text") >= MOST) & ~sentences
     listed = (c("entry_text") >= MOST) & (c("n_lines") >= 3)
     return s.withColumn("kind", F.when(junk, "junk").when(table, "table").when(listed, "list").otherwise("prose"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import components as groups
-from lorekeep.llm import languages, leakage, quality, rank_fusion, representatives
+from lorekeep.llm import languages, leakage, packing, quality, rank_fusion, representatives
 from lorekeep.llm import near_duplicates as near
 from lorekeep.llm import similar_vectors as vectors
+from lorekeep.session import cut
 from lorekeep.sources.tables import current_lessons, latest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,26 @@ def p9_statistics(spark: SparkSession, base: str) -> DataFrame:
     """All statistics of each document, its kind, and the prose rules it fails."""
     stats = quality.statistics(table(spark, base, "documents"), "doc_id", "text")
     return quality.reasons(quality.kinds(stats)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def _windows(spark: SparkSession, base: str) -> list:
+    """The container capacities: a fixed table of four rows."""
+    return table(spark, base, "context_window").select("window_id", "capacity_tokens").orderBy("capacity_tokens").collect()
+
+
+@query("p7_packing")
+def p7_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Every document in a container of one of the context sizes, each document once, longer sizes filled from shorter ones."""
+    sizes = cut(packing.sizes(table(spark, base, "documents"), "doc_id", "text", packing.token_counter()))
+    return packing.pack(sizes, [w.capacity_tokens for w in _windows(spark, base)]).withColumnRenamed("id", "doc_id")
+
+
+@query("p7_each_window")
+def p7_each_window(spark: SparkSession, base: str) -> DataFrame:
+    """All documents packed for each context size by itself."""
+    sizes = cut(packing.sizes(table(spark, base, "documents"), "doc_id", "text", packing.token_counter()))
+    packed = [packing.pack(sizes, [w.capacity_tokens]).withColumn("window_id", F.lit(w.window_id)) for w in _windows(spark, base)]
+    out = packed[0]
+    for p in packed[1:]:
+        out = out.unionByName(p)
+    return out.withColumnRenamed("id", "doc_id")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,11 @@ OTHER_WEIGHT = 4
 DESIGN_FRACTION = 0.227
 DESIGN_MISS = 0.02
 #: Pairs that differ in more of the bits are dropped before the exact check.
-RADIUS_FRACTION = 0.29
+RADIUS_FRACTION = 0.31
 #: Bits of a fingerprint at least; with fewer, unlike texts come too close by chance.
 LEAST_BITS = 192
+#: More bits, in words of 64, that are compared only for pairs already close in the first ones.
+MORE_WORDS = 3
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +65,11 @@ def common_words(texts: DataFrame, text: str, share: float = COMMON_SHARE) -> li
 
 
 def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[str]) -> DataFrame:
-    """Adds ``words`` (number of distinct words), ``same`` (hash of the set) and ``code`` (SimHash), and drops the text."""
+    """Adds ``words`` (number of distinct words), ``same`` (hash of the set), ``code`` (SimHash) and ``more`` bits, and drops the text."""
     others = [f for f in texts.schema.fields if f.name != text]
     rare = frozenset(common)
+    size = -(-bits // 64)
+    bits = 64 * (size + MORE_WORDS)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,11 +77,11 @@ def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[
             h = pd.util.hash_array(np.asarray(unique, object), categorize=False) if len(unique) else np.zeros(0, np.uint64)
             weight = np.array([COMMON_WEIGHT if w in rare else OTHER_WEIGHT for w in unique], np.int8)
             state, sign = h.copy(), []
-            for _ in range(-(-bits // 64)):
+            for _ in range(size + MORE_WORDS):
                 state = (state ^ (state >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 state = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 sign.append(np.unpackbits((state ^ (state >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1))
-            vectors = (np.concatenate(sign, axis=1)[:, :bits].astype(np.int8) * 2 - 1) * weight[:, None] if len(h) else np.zeros((0, bits), np.int8)
+            vectors = (np.concatenate(sign, axis=1).astype(np.int8) * 2 - 1) * weight[:, None] if len(h) else np.zeros((0, bits), np.int8)
             n = np.bincount(rows, minlength=b.num_rows)
             full = np.flatnonzero(n)
             sums = np.zeros((b.num_rows, bits), np.int16 if n.max(initial=0) < 8000 else np.int32)
@@ -91,10 +97,12 @@ def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[
                 mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
                 np.add.at(same, rows, (mixed ^ (mixed >> np.uint64(29)))[code] if len(h) else np.zeros(0, np.uint64))
             out = [b.column(f.name) for f in others]
-            out += [pa.array(n.astype(np.int32)), pa.array(same.view(np.int64)), pa.array([r.tobytes() for r in packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=[*[f.name for f in others], "words", "same", "code"])
+            out += [pa.array(n.astype(np.int32)), pa.array(same.view(np.int64)), pa.array([r.tobytes() for r in packed[:, : 8 * size]], pa.binary())]
+            more = np.ascontiguousarray(packed[:, 8 * size :]).view(np.int64).ravel()
+            out.append(pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * MORE_WORDS, more))
+            yield pa.RecordBatch.from_arrays(out, names=[*[f.name for f in others], "words", "same", "code", "more"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "words int", "same long", "code binary"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "words int", "same long", "code binary", "more array<long>"])
     return texts.mapInArrow(make, schema)
 
 
@@ -115,17 +123,23 @@ def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None =
     base = texts.select(*columns).filter(F.col("id").isNotNull())
     n = base.count()
     width, tables = shape(n, DESIGN_FRACTION, DESIGN_MISS)
-    bits = max(LEAST_BITS, width * tables)
+    bits = -(-max(LEAST_BITS, width * tables) // 64) * 64
     marks = fingerprints(base, "id", "text", bits, common_words(base, "text"))
-    best = marks.groupBy("id").agg(F.max(F.struct("version", "words", "same", "code")).alias("m"))
-    current = cut(best.select("id", "m.version", "m.words", "m.same", "m.code").filter(F.col("words") >= min_words))
-    classes = current.groupBy("same", "words").agg(F.min(F.struct("id", "version", "code")).alias("r"))
-    classes = cut(classes.select("same", "words", F.col("r.id").alias("id"), F.col("r.version").alias("version"), F.col("r.code").alias("code")))
+    best = marks.groupBy("id").agg(F.max(F.struct("version", "words", "same", "code", "more")).alias("m"))
+    current = cut(best.select("id", "m.version", "m.words", "m.same", "m.code", "m.more").filter(F.col("words") >= min_words))
+    classes = current.groupBy("same", "words").agg(F.min(F.struct("id", "version", "code", "more")).alias("r"))
+    classes = cut(classes.select("same", "words", "r.id", "r.version", "r.code", "r.more"))
     members = current.select("id", "same", "words").join(classes.select("same", "words", F.col("id").alias("class")), ["same", "words"]).select("class", "id")
-    close = cut(code_pairs(classes.select("id", "code"), width, tables, bits, int(RADIUS_FRACTION * bits), n))
+    radius = int(RADIUS_FRACTION * bits)
+    near = code_pairs(classes.select("id", "code"), width, tables, bits, radius, n)
+    a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("more").alias(f"m{x}"), F.col("words").alias(f"n{x}")) for x in "ab")
+    rest = reduce(add, [F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(MORE_WORDS)])
+    # The larger set bounds the overlap from both sides, so sizes that differ too much can't be similar enough.
+    fits = (F.col("distance") + rest <= int(RADIUS_FRACTION * (bits + 64 * MORE_WORDS))) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    close = cut(near.join(a, "id_a").join(b, "id_b").filter(fits).select("id_a", "id_b"))
     # Exact check: the words of the classes in any close pair, and only those, are made again.
-    involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(classes.select("id", "version"), "id")
-    texts_of = base.join(involved, ["id", "version"]).dropDuplicates(["id"])
+    involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(classes.select("id", F.col("version").alias("newest")), "id")
+    texts_of = base.join(involved, "id").filter("version = newest").dropDuplicates(["id"])
     words = texts_of.select("id", F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), lambda w: F.xxhash64(w)).alias("w"))
     a, b = words.select(F.col("id").alias("id_a"), F.col("w").alias("wa")), words.select(F.col("id").alias("id_b"), F.col("w").alias("wb"))
     both = close.join(a, "id_a").join(b, "id_b").withColumn("k", F.size(F.array_intersect("wa", "wb")))

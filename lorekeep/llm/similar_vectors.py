@@ -92,7 +92,7 @@ def similar_pairs(records: DataFrame, key: str, vector: str, version: str | None
     n = base.count()
     fraction = float(np.arccos(cosine) / np.pi)
     width, tables = shape(n, fraction, MISS)
-    bits = max(LEAST_BITS, width * tables)
+    bits = -(-max(LEAST_BITS, width * tables) // 64) * 64
     radius = int(bits * fraction + SLACK * np.sqrt(bits * fraction * (1 - fraction)))
     good = base.filter("ok").drop("ok")
     marks = encode(good, "v", dim, _learn(good, bits, dim)).unionByName(base.filter(~F.col("ok")).select("id", "version", F.lit(None).cast("binary").alias("code")))

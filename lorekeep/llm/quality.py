@@ -47,9 +47,10 @@ _ROW = "|".join(
 _TABLE = rf"(?m)^(?:{_ROW})[ \t]*$"
 _BROKEN = r"[�ÂÃ¢½¿ï°™€]"
 _MARKUP = r"</?[A-Za-z!][^<>\n]{0,300}>|\{[^{}\n]{0,80}\}"
-_BLOB = r"[A-Za-z0-9+/=_-]{32,}"
+_BLOB_LENGTH, _BLOB = 32, r"^[A-Za-z0-9+/=_-]+$"
 _MARKS = tuple("|-*•–—+=:>#")
-_VOWELS = r"[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýаеёиоуыэюя]+"
+_VOWELS = "aeiouyAEIOUYàáâãäåæèéêëìíîïòóôõöøùúûüýÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝаеёиоуыэюяАЕЁИОУЫЭЮЯ"
+_VOWEL_WORD = rf"[^\s{_VOWELS}]*+[{_VOWELS}]\S*+"
 _CODE = r"\(cid:\d+\)|\\[ux][0-9a-fA-F]{2,4}"
 
 
@@ -68,16 +69,16 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     Null and empty texts count as empty: every count and share is 0. Words are runs of non-blanks.
     Other columns are dropped, so none can clash.
     """
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
+    given = F.coalesce(F.col(text), F.lit(""))
+    clean = F.when(given.contains("\r"), F.regexp_replace(given, r"\r\n?", "\n")).otherwise(given)
     base = documents.select(F.col(key), clean.alias("t"))
     base = base.withColumn("tokens", F.filter(F.split(F.lower("t"), r"\s+"), lambda w: w != "")).withColumn("n", F.length("t"))
-    dense = _left(F.col("t"), r"\s+")
     common = sorted({w for ws in COMMON.values() for w in ws})
-    base = base.withColumn("dense", dense).withColumn("n_words", F.size("tokens"))
-    lined = F.when(F.col("dense") > 0, F.length(F.regexp_replace(F.regexp_replace("t", r"(?m)^[ \t]*$\n?", ""), r"[^\n]+", "")) + 1).otherwise(0)
+    base = base.withColumn("dense", F.length(F.array_join("tokens", ""))).withColumn("n_words", F.size("tokens"))
+    lined = F.regexp_count("t", F.lit(r"(?:\A|\n)[^\S\n]*\S"))
     t, n, words = F.col("t"), F.col("n"), F.col("n_words")
     tidy = base.withColumn("n_lines", lined)
-    return tidy.select(
+    return base.withColumn("n_lines", lined).select(
         F.col(key),
         n.alias("n_chars"),
         words.alias("n_words"),
@@ -87,15 +88,15 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
         _share(F.size(F.filter("tokens", lambda w: (F.length(w) == 1) & ~w.isin(*_MARKS))), words).alias("single_letters"),
         _share(F.size(F.filter("tokens", lambda w: w.isin(*common))), words).alias("common_words"),
         _share(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.col("dense")).alias("letters"),
-        _share(_left(F.lower(t), _VOWELS), F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))).alias("vowels"),
+        _share(F.length(F.regexp_replace(F.regexp_replace(t, _VOWEL_WORD, ""), r"\s+", "")), F.col("dense")).alias("vowelless_text"),
         _share(F.col("dense") - _left(t, r"[\s#{}<>|\\~^*_=\[\]@$&%+]+"), words).alias("symbols_per_word"),
-        _share(F.regexp_count(t, F.lit(r"(?m)[.!?:\"'»”)\]][ \t]*$")), F.col("n_lines")).alias("punctuated_lines"),
+        _share(F.regexp_count(t, F.lit(r"[.!?:\"'»”)\]][ \t]*(?:\n|\z)")), F.col("n_lines")).alias("punctuated_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)^[ \t]*(?:[-*+•–—‣◦]|\d{1,3}[.)]|\[[ xX]\])[ \t]")), F.col("n_lines")).alias("bullet_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)(?:\.\.\.|…)[ \t]*$")), F.col("n_lines")).alias("ellipsis_lines"),
         _share(n - _left(t, _TABLE), n).alias("table_text"),
         _share(n - _left(t, _ENTRY), n).alias("entry_text"),
         _share(n - _left(t, _MARKUP), n).alias("markup_text"),
-        _share(n - _left(t, _BLOB), n).alias("blob_text"),
+        _share(F.length(F.array_join(F.filter("tokens", lambda w: (F.length(w) >= _BLOB_LENGTH) & w.rlike(_BLOB)), "")), n).alias("blob_text"),
         _share(n - _left(t, _CODE), n).alias("code_text"),
         _share(n - _left(t, _BROKEN), F.col("dense")).alias("broken_text"),
     )
@@ -133,7 +134,7 @@ def kinds(s: DataFrame) -> DataFrame:
             c("broken_text") >= 0.2,
             (c("markup_text") >= MOST) & (c("table_text") < MOST),
             (c("single_letters") >= 0.6) & (c("n_words") >= 20),
-            (c("vowels") < 0.2) & (c("letters") >= MOST) & (c("n_words") >= 5) & (c("table_text") < MOST),
+            (c("vowelless_text") >= 0.8) & (c("letters") >= MOST) & (c("n_words") >= 5) & (c("table_text") < MOST),
             (c("letters") < 0.35) & (c("table_text") < MOST) & (c("entry_text") < MOST),
             (c("distinct_words") < 0.12) & (c("n_words") >= 20) & (c("distinct_words") * c("n_words") <= 40),
         ),

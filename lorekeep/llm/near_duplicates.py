@@ -32,11 +32,14 @@ OTHER_WEIGHT = 4
 DESIGN_FRACTION = 0.227
 DESIGN_MISS = 0.02
 #: Pairs that differ in more of the bits are dropped before the exact check.
-RADIUS_FRACTION = 0.31
+RADIUS_FRACTION = 0.29
 #: Bits of a fingerprint at least; with fewer, unlike texts come too close by chance.
 LEAST_BITS = 192
 #: More bits, in words of 64, that are compared only for pairs already close in the first ones.
 MORE_WORDS = 3
+MORE_FRACTION = 0.31
+#: Bits of the filter that keeps texts in no close pair out of the shuffle: a fixed 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +109,28 @@ def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[
     return texts.mapInArrow(make, schema)
 
 
+def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Drops most rows whose ``id`` is not among ``ids`` and none that is, by a broadcast bitmap of fixed size.
+
+    With more ids than bits the bitmap lets everything through, and the join that follows does all the work.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(slot.alias("s")).distinct().groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    got = words.toArrow()
+    table[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    kept, columns = table.tobytes(), rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(kept, np.int64)
+        for b in batches:
+            s = b.column("_s").to_numpy()
+            hit = (bits[s >> 6] >> (s & 63)) & 1
+            yield b.filter(pa.array(hit.astype(bool))).select(columns)
+
+    return rows.withColumn("_s", slot).mapInArrow(keep, rows.schema)
+
+
 def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None = None, threshold: float = 0.6, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
     """Classes of texts with the same distinct words, and pairs of classes that are near duplicates.
 
@@ -135,11 +160,12 @@ def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None =
     a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("more").alias(f"m{x}"), F.col("words").alias(f"n{x}")) for x in "ab")
     rest = reduce(add, [F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(MORE_WORDS)])
     # The larger set bounds the overlap from both sides, so sizes that differ too much can't be similar enough.
-    fits = (F.col("distance") + rest <= int(RADIUS_FRACTION * (bits + 64 * MORE_WORDS))) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    fits = (F.col("distance") + rest <= int(MORE_FRACTION * (bits + 64 * MORE_WORDS))) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     close = cut(near.join(a, "id_a").join(b, "id_b").filter(fits).select("id_a", "id_b"))
     # Exact check: the words of the classes in any close pair, and only those, are made again.
-    involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(classes.select("id", F.col("version").alias("newest")), "id")
-    texts_of = base.join(involved, "id").filter("version = newest").dropDuplicates(["id"])
+    ids = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    involved = cut(ids.join(classes.select("id", F.col("version").alias("newest")), "id"))
+    texts_of = maybe_in(base, involved).join(involved, "id").filter("version = newest").dropDuplicates(["id"])
     words = texts_of.select("id", F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), lambda w: F.xxhash64(w)).alias("w"))
     a, b = words.select(F.col("id").alias("id_a"), F.col("w").alias("wa")), words.select(F.col("id").alias("id_b"), F.col("w").alias("wb"))
     both = close.join(a, "id_a").join(b, "id_b").withColumn("k", F.size(F.array_intersect("wa", "wb")))

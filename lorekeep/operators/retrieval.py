@@ -60,7 +60,7 @@ def text_pool(queries: DataFrame, lessons: DataFrame, size: int) -> DataFrame:
     )
     postings = lessons.select("id", F.explode(places).alias("e")).select("id", "e.*").join(wanted, "term")
     hits = postings.join(terms, "term").join(need, "query_id")
-    found = hits.groupBy("query_id", "id", "need").agg(F.countDistinct("term").alias("have"), F.sum("w").alias("sum"), F.array_sort(F.collect_list(F.struct("p", "term", "w"))).alias("places")).filter("have = need")
+    found = hits.groupBy("query_id", "id", "need").agg(F.countDistinct("term").alias("have"), F.round(F.sum("w"), 9).alias("sum"), F.array_sort(F.collect_list(F.struct("p", "term", "w"))).alias("places")).filter("have = need")
     one = found.filter("need = 1").select("query_id", "id", (F.col("sum") / (F.col("sum") + 1)).alias("bm25_score"))
 
     def covers(batches):

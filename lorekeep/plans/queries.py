@@ -187,11 +187,11 @@ FINAL = f"""scored as (select f.*, rrf + (0.8::double / 61 / 0.76) * (0.025 * im
            from fused f join l using (id))"""
 
 
-@query("rrf_ranks", f"with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS} select query_id, id, n as n_candidates, vr as vec_rank, br as bm25_rank, round(rrf, 9) as rrf_score from fused")
+@query("rrf_ranks", f"with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS} select query_id, id, n as n_candidates, vr as vec_rank, coalesce(br, 0) as bm25_rank, round(rrf, 9) as rrf_score from fused")
 def rrf_ranks(spark: SparkSession, base: str) -> DataFrame:
     lessons = _all(spark, base)
     fused = retrieval.fuse(retrieval.pools(_ask(lessons), lessons, None, CONFIG, 10), CONFIG)
-    return fused.select("query_id", "id", "n_candidates", "vec_rank", "bm25_rank", F.round("rrf_score", 9).alias("rrf_score"))
+    return fused.select("query_id", "id", "n_candidates", "vec_rank", F.coalesce("bm25_rank", F.lit(0)).alias("bm25_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @query("hybrid_recall", f"with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS}, {FINAL} select query_id, id, round(score, 9) as score, row_number() over (partition by query_id order by score desc nulls last, id) as rank from scored qualify rank <= 10")
@@ -431,9 +431,9 @@ def fact_versions(spark: SparkSession, base: str) -> DataFrame:
     return writes.fact_versions(facts).select("entity", "version", "value")
 
 
-@query("event_idempotent", f"with {L} select lower(topic) as topic, project_id, id from l qualify row_number() over (partition by lower(topic), project_id order by created_at nulls first, id) = 1")
+@query("event_idempotent", f"with {L} select lower(topic) as topic, coalesce(project_id, -1) as project_id, id from l qualify row_number() over (partition by lower(topic), project_id order by created_at nulls first, id) = 1")
 def event_idempotent(spark: SparkSession, base: str) -> DataFrame:
-    return writes.first_events(_lessons(spark, base, "topic", "project_id", "created_at").select("id", "topic", "project_id", "created_at"), "topic", "project_id", "created_at").select("topic", "project_id", "id")
+    return writes.first_events(_lessons(spark, base, "topic", "project_id", "created_at").select("id", "topic", "project_id", "created_at"), "topic", "project_id", "created_at").select("topic", F.coalesce("project_id", F.lit(-1)).alias("project_id"), "id")
 
 
 @query("ingest_batch")
@@ -552,8 +552,8 @@ def welch_arms(spark: SparkSession, base: str) -> DataFrame:
 def holm_adjusted(spark: SparkSession, base: str) -> DataFrame:
     rows = _lessons(spark, base, "role", "success_count", "fail_count")
     t = rows.groupBy("role").agg(F.sum("success_count").cast("double").alias("k"), F.sum(F.col("success_count") + F.col("fail_count")).cast("double").alias("m")).filter("m > 0").withColumn("family", F.lit(0))
-    rest = t.agg(F.sum("k").alias("K"), F.sum("m").alias("M"))
-    z = evaluation.two_proportion_z(F.col("k"), F.col("m"), F.col("K") - F.col("k"), F.col("M") - F.col("m"))
+    rest = t.agg(F.sum("k").alias("all_k"), F.sum("m").alias("all_m"))
+    z = evaluation.two_proportion_z(F.col("k"), F.col("m"), F.col("all_k") - F.col("k"), F.col("all_m") - F.col("m"))
     return evaluation.holm(t.crossJoin(F.broadcast(rest)).withColumn("p", evaluation.normal_p(z)), "family", "role", "p").select("role", "p", "p_holm")
 
 

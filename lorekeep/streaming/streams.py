@@ -12,8 +12,12 @@ from lorekeep.operators import lifecycle, writes
 
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet file or folder as a stream, with the schema of what lies there."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if any(f.rpartition("/")[2] == name for f in batch.inputFiles()):
+        # A stream's source is a folder: of a single file, its folder filtered by its name.
+        reader, path = reader.option("pathGlobFilter", name), folder
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

@@ -52,33 +52,38 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, code, unique
 
 
-def common_words(texts: DataFrame, text: str, share: float = COMMON_SHARE) -> list[str]:
-    """Words in at least ``share`` of all texts. The list is bounded by (mean words a text) / ``share``."""
+def _hash(words: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words, object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+
+
+def common_words(texts: DataFrame, text: str, share: float = COMMON_SHARE) -> list[int]:
+    """64-bit hashes of the words in at least ``share`` of all texts. There are at most (mean words a text) / ``share``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, code, unique = _words(b.column(0))
             n = np.bincount(code, minlength=len(unique)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([*unique, None], pa.string()), pa.array([*n, b.num_rows], pa.int64())], names=["word", "n"])
+            h = pa.array([*_hash(unique).view(np.int64), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([h, pa.array([*n, b.num_rows], pa.int64())], names=["word", "n"])
 
-    counts = texts.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     return sorted(r.word for r in counts.filter((F.col("n") >= share * total) & F.col("word").isNotNull()).select("word").collect())
 
 
-def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[str]) -> DataFrame:
+def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[int]) -> DataFrame:
     """Adds ``words`` (number of distinct words), ``same`` (hash of the set), ``code`` (SimHash) and ``more`` bits, and drops the text."""
     others = [f for f in texts.schema.fields if f.name != text]
-    rare = frozenset(common)
+    frequent = np.array(common, np.int64).view(np.uint64)
     size = -(-bits // 64)
     bits = 64 * (size + MORE_WORDS)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, code, unique = _words(b.column(text))
-            h = pd.util.hash_array(np.asarray(unique, object), categorize=False) if len(unique) else np.zeros(0, np.uint64)
-            weight = np.array([COMMON_WEIGHT if w in rare else OTHER_WEIGHT for w in unique], np.int8)
+            h = _hash(unique)
+            weight = np.where(np.isin(h, frequent), COMMON_WEIGHT, OTHER_WEIGHT).astype(np.int8)
             state, sign = h.copy(), []
             for _ in range(size + MORE_WORDS):
                 state = (state ^ (state >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -166,9 +171,12 @@ def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None =
     ids = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     involved = cut(ids.join(classes.select("id", F.col("version").alias("newest")), "id"))
     texts_of = maybe_in(base, involved).join(involved, "id").filter("version = newest").dropDuplicates(["id"])
-    words = texts_of.select("id", F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), lambda w: F.xxhash64(w)).alias("w"))
-    a, b = words.select(F.col("id").alias("id_a"), F.col("w").alias("wa")), words.select(F.col("id").alias("id_b"), F.col("w").alias("wb"))
-    both = close.join(a, "id_a").join(b, "id_b").withColumn("k", F.size(F.array_intersect("wa", "wb")))
+    # One string of distinct words a class travels, which compresses far better than an array of hashes.
+    distinct = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    words = texts_of.select("id", F.array_join(distinct, " ").alias("w"))
+    a, b = words.select(F.col("id").alias("id_a"), F.col("w").alias("a")), words.select(F.col("id").alias("id_b"), F.col("w").alias("b"))
+    both = close.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.split("a", " ").alias("wa"), F.split("b", " ").alias("wb"))
+    both = both.withColumn("k", F.size(F.array_intersect("wa", "wb")))
     similarity = F.col("k") / (F.size("wa") + F.size("wb") - F.col("k"))
     links = both.select(F.col("id_a").alias("class_a"), F.col("id_b").alias("class_b"), similarity.alias("similarity"))
     return members, links.filter(F.col("similarity") >= F.lit(threshold) - 1e-9)

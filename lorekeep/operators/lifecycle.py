@@ -66,7 +66,7 @@ def consolidate(lessons: DataFrame, similarity: float = 0.92, limit: int = 100,
 
 def supersede(lessons: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(lessons, edges)`` after consolidation: members superseded and inactive, evidence added, an edge with each prior state."""
-    members = found.select("canonical_id", F.explode(F.split("member_ids", ",")).cast("long").alias("id"))
+    members = found.select("canonical_id", F.explode(F.split("member_ids", ",").cast("array<long>")).alias("id"))
     extra = found.select(F.col("canonical_id").alias("id"), (F.col("size") - 1).alias("extra"))
     joined = lessons.join(members, "id", "left").join(extra, "id", "left")
     gone = F.col("canonical_id").isNotNull()

@@ -253,8 +253,8 @@ def document_languages(found: Column) -> Column:
 
     def of(code: str) -> Column:
         own = F.filter(found, lambda s: s["lang"] == code)
-        mean = F.aggregate(own, F.lit(0.0), lambda a, s: a + s["confidence"]) / F.size(own)
-        return F.struct(F.size(own).alias("segments"), F.lit(code).alias("lang"), mean.alias("confidence"))
+        total = F.aggregate(own, F.lit(0.0), lambda a, s: a + s["confidence"])
+        return F.struct(F.size(own).alias("segments"), F.lit(code).alias("lang"), F.try_divide(total, F.size(own)).alias("confidence"))
 
     every = F.filter(F.array(*[of(c) for c in LANGUAGES]), lambda s: s["segments"] > 0)
     return F.reverse(F.array_sort(every))

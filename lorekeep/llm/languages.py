@@ -46,7 +46,7 @@ SKETCH = 64
 #: A segment counts with so many plain words at least; a topic with fewer.
 SEGMENT_WORDS, TOPIC_WORDS = 4, 3
 #: Cosine under which a segment has no language, and the lead over the next language.
-LEAST_COSINE, LEAST_LEAD = 0.2, 0.01
+LEAST_COSINE, LEAST_LEAD = 0.2, 0.002
 #: Words a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 200_000
 

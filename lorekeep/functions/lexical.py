@@ -149,3 +149,24 @@ def cover_density(docs: DataFrame, key: str, topic: str, body: str, query: str,
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(topic).alias("t"), F.col(body).alias("x")).mapInArrow(rank, "id long, score double")
+
+
+def tfidf_cosine(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """``(query_id, id, score)``: cosine of the TF-IDF vectors (tf * ln(n / df)) of queries and documents that share a term."""
+    d = term_documents(docs, key, bm25_tokens(F.col(text))).select("id", "term", "tf")
+    q = term_documents(queries.select(F.col(query_key).alias("_q"), F.col(query_text).alias("_t")), "_q", bm25_tokens(F.col("_t"))).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+    n = docs.count()
+    df = d.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) / F.col("df")))
+    weighted = lookup_join(d, df, ["term"], "df", max(1, n)).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    asked = q.join(df.select("term", "idf"), "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    qn = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    dots = weighted.join(asked.select("query_id", "term", "qw"), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms, "id").join(qn, "query_id").select("query_id", "id", F.coalesce(F.try_divide("dot", F.col("dn") * F.col("qn")), F.lit(0.0)).alias("score"))
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """F1 of the distinct tokens of two texts; 0 where either has none or they share none."""
+    x, y = F.array_distinct(bm25_tokens(a)), F.array_distinct(bm25_tokens(b))
+    both = F.size(F.array_intersect(x, y))
+    return F.when(both > 0, 2.0 * both / (F.size(x) + F.size(y))).otherwise(0.0)

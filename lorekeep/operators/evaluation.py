@@ -113,3 +113,35 @@ def bootstrap_mean(values: DataFrame, column: str, rounds: int = 200, seed: int
     rows = values.select(F.col(column).cast("double").alias("x"), F.monotonically_increasing_id().alias("_id")).withColumn("r", weights).withColumn("w", w)
     means = rows.groupBy("r").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def arm(key: Column, arms: int = 3) -> Column:
+    """The arm of a run, dealt by a hash of its key: A, B, C ..."""
+    return F.chr(F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(arms)) + 65)
+
+
+def graph_probes(edges: DataFrame, lessons: DataFrame, most: float = 0.7) -> DataFrame:
+    """``(source_id, target_id, similarity)``: linked lessons whose vectors alone wouldn't find each other."""
+    from lorekeep.operators.vectors import cosine
+
+    rows = lessons.select("id", "embedding")
+    a, b = (rows.select(F.col("id").alias(f"{n}_id"), F.col("embedding").alias(f"_{n}")) for n in ("source", "target"))
+    joined = edges.select("source_id", "target_id").distinct().join(a, "source_id").join(b, "target_id")
+    return joined.select("source_id", "target_id", cosine("_source", "_target").alias("similarity")).filter(F.col("similarity") < most)
+
+
+def weight_grid(candidates: DataFrame, relevant: DataFrame, a: str, b: str, steps: int = 10, k: int = 10) -> DataFrame:
+    """``(weight, recall)``: mean recall at ``k`` of each blend ``weight * a + (1 - weight) * b``, over a grid of fixed size."""
+    weight = F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)]))
+    grid = candidates.withColumn("weight", weight).withColumn("s", F.col("weight") * F.col(a) + (1 - F.col("weight")) * F.col(b))
+    order = Window.partitionBy("weight", "query_id").orderBy(F.desc_nulls_last("s"), "id")
+    top = grid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    n = relevant.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    found = top.join(relevant.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy("weight", "query_id").agg(F.count("*").alias("h"))
+    asked = candidates.select("query_id").distinct().join(n, "query_id").withColumn("weight", weight)
+    return asked.join(found, ["weight", "query_id"], "left").groupBy("weight").agg(F.avg(F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"))
+
+
+def turn_session(turn: Column) -> Column:
+    """The session of a turn id such as ``D1:3``."""
+    return F.split(turn, ":")[0]

@@ -158,3 +158,21 @@ def latest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def evict_expired(lessons: DataFrame, config: RecallConfig) -> DataFrame:
+    """The lessons that have not expired at the time of the settings."""
+    return lessons.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(config.now)))
+
+
+def mark_recalled(lessons: DataFrame, recalls: DataFrame) -> DataFrame:
+    """Adds a log of recalls ``(id, at)`` to the counts and the last time of recall; unknown ids are skipped."""
+    seen = recalls.groupBy("id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    joined = lessons.join(seen, "id", "left")
+    return joined.withColumns({"recall_count": F.coalesce("recall_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_recalled_at": F.greatest("last_recalled_at", "_at")}).drop("_n", "_at")
+
+
+def stats_by(lessons: DataFrame, *keys: str) -> DataFrame:
+    """Counts, activity and mean confidence over every combination of the keys (a cube; null stands for all, ``level`` tells them apart)."""
+    sure = F.when(F.col("confidence").between(0, 1), F.col("confidence").cast("double"))
+    return lessons.cube(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum(F.col("is_active").cast("int")).alias("active"), F.avg(sure).alias("mean_confidence"))

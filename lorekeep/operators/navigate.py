@@ -94,3 +94,36 @@ def typed_projection(lessons: DataFrame) -> DataFrame:
     return lessons.select("id", content.alias("content"), detail.alias("detail"))
 
 
+
+
+def dispatch(queries: DataFrame, lessons: DataFrame, edges: DataFrame, config: RecallConfig, content_type: str | None = None, budget: int = 2000) -> DataFrame:
+    """``(query_id, id, score, path)``: entity lookups by text rank, temporal ones by time, relations over the graph, others by the hybrid score."""
+    seen = visible(lessons, config)
+    if content_type == "entity":
+        found = retrieval.text_pool(queries, seen.filter("content_type = 'entity'"), 50).withColumnRenamed("bm25_score", "score")
+    elif content_type == "temporal":
+        newest = locate_newest(lessons, config, "temporal", budget)
+        found = queries.select("query_id").crossJoin(F.broadcast(newest.select("id", (-F.col("running_chars")).cast("double").alias("score"))))  # at most 50 rows
+    elif content_type == "relation":
+        seeds = retrieval.recall_hybrid(queries, lessons, None, config, 10).select("query_id", "id", "score")
+        found = locate_related(seeds, edges).join(seen.select("id"), "id", "left_semi")
+    else:
+        found = locate(queries, lessons, edges, config, budget)
+    return found.select("query_id", "id", "score", F.lit(content_type or "hybrid").alias("path"))
+
+
+#: Mean radius of the earth in kilometres.
+EARTH_KM = 6371.0088
+
+
+def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+    """``(a_id, b_id, km)``: places ``(id, lat, lon)`` of two tables at most so far apart, joined on latitude bands.
+
+    A band is as high as the distance, so each place meets three bands and no others.
+    """
+    band = km / (EARTH_KM * 3.141592653589793 / 180)
+    x = a.select(F.col("id").alias("a_id"), F.radians("lat").alias("la"), F.radians("lon").alias("lo"), F.floor(F.col("lat") / band).alias("c"))
+    x = x.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    y = b.select(F.col("id").alias("b_id"), F.radians("lat").alias("lb"), F.radians("lon").alias("lp"), F.floor(F.col("lat") / band).alias("c"))
+    h = F.pow(F.sin((F.col("lb") - F.col("la")) / 2), 2) + F.cos("la") * F.cos("lb") * F.pow(F.sin((F.col("lp") - F.col("lo")) / 2), 2)
+    return x.join(y, "c").select("a_id", "b_id", (2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))).alias("km")).filter(F.col("km") <= km)

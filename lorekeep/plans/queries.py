@@ -588,3 +588,98 @@ def stream_recalls(spark: SparkSession, base: str) -> DataFrame:
 def export_blocks(spark: SparkSession, base: str) -> DataFrame:
     blocks = files.markdown_blocks(_lessons(spark, base, "item_kind", "created_at", "role", "state", "topic", "lesson_text"))
     return blocks.groupBy("item_kind").agg(F.count("*").alias("blocks"), F.sum(F.length("block")).alias("chars"))
+
+
+# ---- more of the surveyed surface ----
+
+
+@query(
+    "tfidf_topk",
+    f"""with {L}, d as (select id, regexp_extract_all(lower(lesson_text), '[a-z0-9]+') as w from l), q0 as (select id as query_id, regexp_extract_all(lower(topic), '[a-z0-9]+') as w from l where id % 50 = 0),
+n as (select count(*) as n from l), t as (select id, unnest(list_distinct(w)) as term, w from d), p as (select id, term, len(list_filter(w, lambda x: x = term)) as tf from t),
+df as (select term, ln(n / count(*)) as idf from p, n group by term, n), wd as (select id, term, tf * idf as w from p join df using (term)), dn as (select id, sqrt(sum(w * w)) as dn from wd group by id),
+tq as (select query_id, unnest(list_distinct(w)) as term, w from q0), wq as (select query_id, term, len(list_filter(w, lambda x: x = term)) * idf as qw from tq join df using (term)), qn as (select query_id, sqrt(sum(qw * qw)) as qn from wq group by query_id),
+s as (select query_id, id, sum(w * qw) as dot from wd join wq using (term) group by all)
+select query_id, id, round(coalesce(dot / nullif(dn * qn, 0), 0), 6) as score from s join dn using (id) join qn using (query_id) qualify row_number() over (partition by query_id order by round(coalesce(dot / nullif(dn * qn, 0), 0), 9) desc, id) <= 10""",
+)
+def tfidf_topk(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _lessons(spark, base, "topic", "lesson_text")
+    scored = lexical.tfidf_cosine(lessons, "id", "lesson_text", lessons.filter("id % 50 = 0").select("id", "topic"), "id", "topic")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("_r", F.row_number().over(order)).filter("_r <= 10").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("token_f1", f"with {L}, t as (select id, list_distinct(regexp_extract_all(lower(topic), '[a-z0-9]+')) as a, list_distinct(regexp_extract_all(lower(lesson_text), '[a-z0-9]+')) as b from l) select id, round(case when len(list_intersect(a, b)) > 0 then 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) else 0.0 end, 9) as f1 from t")
+def token_f1(spark: SparkSession, base: str) -> DataFrame:
+    return _lessons(spark, base, "topic", "lesson_text").select("id", F.round(lexical.token_f1(F.col("topic"), F.col("lesson_text")), 9).alias("f1"))
+
+
+@query("evict_expired", f"with {L} select id from l where expires_at is null or epoch_us(expires_at) >= {NOW_US}")
+def evict_expired(spark: SparkSession, base: str) -> DataFrame:
+    return lifecycle.evict_expired(_lessons(spark, base, "expires_at"), CONFIG).select("id")
+
+
+@query("recall_marks", f"with {L}, r as (select lesson_id as id, count(*) as n from recall_candidate group by lesson_id) select l.id, coalesce(recall_count, 0) + coalesce(n, 0) as recall_count from l left join r using (id)")
+def recall_marks(spark: SparkSession, base: str) -> DataFrame:
+    log = table(spark, base, "recall_candidate").select(F.col("lesson_id").alias("id"), F.col("scored_at").alias("at"))
+    return lifecycle.mark_recalled(_lessons(spark, base, "recall_count", "last_recalled_at"), log).select("id", "recall_count")
+
+
+@query("stats_cube", f"with {L} select coalesce(item_kind, 'all') as item_kind, coalesce(source_type, 'all') as source_type, count(*) as n, sum(is_active::int)::bigint as active from l group by cube (item_kind, source_type)")
+def stats_cube(spark: SparkSession, base: str) -> DataFrame:
+    rows = lifecycle.stats_by(_lessons(spark, base, "item_kind", "source_type", "is_active", "confidence"), "item_kind", "source_type")
+    return rows.select(F.coalesce("item_kind", F.lit("all")).alias("item_kind"), F.coalesce("source_type", F.lit("all")).alias("source_type"), "n", "active")
+
+
+@query("pools_are_disjoint", "select 0::bigint as repeated")
+def pools_are_disjoint(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _all(spark, base)
+    pools = retrieval.pools(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), RecallConfig(expand_weight=0.2, entity_weight=0.1), 10)
+    return pools.groupBy("query_id", "id").count().agg(F.sum((F.col("count") > 1).cast("long")).alias("repeated"))
+
+
+@query("expansion_is_additive", "select 0::bigint as lost")
+def expansion_is_additive(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _all(spark, base)
+    plain = retrieval.pools(_ask(lessons), lessons, None, CONFIG, 10).select("query_id", "id")
+    more = retrieval.pools(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), RecallConfig(expand_weight=0.2), 10).select("query_id", "id")
+    return plain.exceptAll(more).agg(F.count("*").alias("lost"))
+
+
+@query("graph_probes", f"with {L}, g as (select id, embedding from l where {GOOD}), p as (select distinct source_id, target_id from mem_edge) select source_id, target_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as similarity from p join g a on a.id = source_id join g b on b.id = target_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) < 0.7")
+def graph_probes(spark: SparkSession, base: str) -> DataFrame:
+    good = _lessons(spark, base, "embedding").filter(vectors.usable("embedding", 64))
+    return evaluation.graph_probes(table(spark, base, "mem_edge"), good).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("hash_arms", f"with {L} select id, chr((('0x' || substr(sha256(id::varchar), 1, 8))::bigint % 3 + 65)::int) as arm from l")
+def hash_arms(spark: SparkSession, base: str) -> DataFrame:
+    return _lessons(spark, base).select("id", evaluation.arm(F.col("id")).alias("arm"))
+
+
+@query("weight_grid")
+def weight_grid(spark: SparkSession, base: str) -> DataFrame:
+    from lorekeep.sources.tables import latest
+
+    c = latest(table(spark, base, "recall_candidate"), ["query_id", "lesson_id"], "scored_at").select("query_id", F.col("lesson_id").alias("id"), F.coalesce("raw_vec_score", F.lit(0.0)).alias("a"), F.coalesce("raw_bm25_score", F.lit(0.0)).alias("b"))
+    _, text_rank = _rankers(spark, base)
+    return evaluation.weight_grid(c, text_rank.filter("rank <= 3"), "a", "b")
+
+
+@query("dispatch_relation")
+def dispatch_relation(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _all(spark, base)
+    return navigate.dispatch(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), CONFIG, "relation")
+
+
+@query("stream_sessions", "with e as (select event_id, user_id, epoch_us(ts) as t, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as b from events), s as (select *, sum(case when b is null or t - b > 1800000000 then 1 else 0 end) over (partition by user_id order by t, event_id rows unbounded preceding) as k from e) select user_id, min(t) as start_us, count(*) as n from s group by user_id, k")
+def stream_sessions(spark: SparkSession, base: str) -> DataFrame:
+    events = streams.source(spark, f"{base}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = streams.drain(streams.sessions(events, "user_id", "ts"), _name("sessions"), mode="complete")
+    return done.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query("stream_first_events", "select distinct id from agent_lesson")
+def stream_first_events(spark: SparkSession, base: str) -> DataFrame:
+    rows = streams.source(spark, f"{base}/agent_lesson.parquet").select("id", "updated_at")
+    return streams.drain(streams.first_events(rows, ["id"], "updated_at", "36500 days"), _name("first"), mode="append").select("id")

@@ -28,12 +28,13 @@ def versions(lessons: DataFrame) -> DataFrame:
 def near_duplicates_of(batch: DataFrame, lessons: DataFrame, dim: int) -> DataFrame:
     """``(id, existing_id, similarity)``: the open lesson of the same project closest to each new one, above the guard.
 
-    A null project never matches. Compared within projects, in blocks of the batch.
+    A null project never matches. The batch meets the lessons in blocks, so a large project costs no more than its share.
     """
     old = lessons.filter(F.col("is_active") & (F.col("t_valid_to") == F.lit(OPEN)) & F.col("project_id").isNotNull() & vectors.usable("embedding", dim))
-    new = batch.filter(F.col("project_id").isNotNull() & vectors.usable("embedding", dim)).select("id", "project_id", F.col("embedding").alias("v"))
-    pairs = new.join(old.select(F.col("id").alias("existing_id"), "project_id", F.col("embedding").alias("w")), "project_id").filter("id <> existing_id")
-    close = pairs.select("id", "existing_id", vectors.cosine("v", "w").alias("similarity")).filter(F.col("similarity") > NEAR_DUPLICATE)
+    new = batch.filter(F.col("project_id").isNotNull() & vectors.usable("embedding", dim))
+    of = lambda rows: rows.select("id", F.col("project_id").alias("g"), F.col("embedding").alias("v"))
+    found = vectors.block_above(of(new), of(old), NEAR_DUPLICATE, dim).filter("id <> query_id")
+    close = found.select(F.col("query_id").alias("id"), F.col("id").alias("existing_id"), F.col("score").alias("similarity"))
     return close.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("existing_id")).alias("e"))).alias("b")).select("id", (-F.col("b.e")).alias("existing_id"), "b.similarity")
 
 

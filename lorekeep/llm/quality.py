@@ -66,7 +66,7 @@ def _share(part: Column, whole: Column) -> Column:
 def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     """One row per row of ``documents``: the key and the statistics of its text.
 
-    Null and empty texts count as empty: every count and share is 0. Words are runs of non-blanks.
+    ``vowelless_text`` is 0 where a twentieth of the words or more are common. Null and empty texts count as empty: every count and share is 0. Words are runs of non-blanks.
     Other columns are dropped, so none can clash.
     """
     given = F.coalesce(F.col(text), F.lit(""))
@@ -77,6 +77,9 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     base = base.withColumn("dense", F.length(F.array_join("tokens", ""))).withColumn("n_words", F.size("tokens"))
     lined = F.regexp_count("t", F.lit(r"(?:\A|\n)[^\S\n]*\S"))
     t, n, words = F.col("t"), F.col("n"), F.col("n_words")
+    base = base.withColumn("common", _share(F.size(F.filter("tokens", lambda w: w.isin(*common))), words))
+    # Text without vowels holds hardly any common words, so other text needn't be searched for it.
+    vowelless = F.length(F.regexp_replace(F.regexp_replace(t, _VOWEL_WORD, ""), r"\s+", ""))
     tidy = base.withColumn("n_lines", lined)
     return base.withColumn("n_lines", lined).select(
         F.col(key),
@@ -86,9 +89,9 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
         _share(F.col("dense"), words).alias("mean_word_length"),
         _share(F.size(F.array_distinct("tokens")), words).alias("distinct_words"),
         _share(F.size(F.filter("tokens", lambda w: (F.length(w) == 1) & ~w.isin(*_MARKS))), words).alias("single_letters"),
-        _share(F.size(F.filter("tokens", lambda w: w.isin(*common))), words).alias("common_words"),
+        F.col("common").alias("common_words"),
         _share(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.col("dense")).alias("letters"),
-        _share(F.length(F.regexp_replace(F.regexp_replace(t, _VOWEL_WORD, ""), r"\s+", "")), F.col("dense")).alias("vowelless_text"),
+        F.when(F.col("common") < 0.05, _share(vowelless, F.col("dense"))).otherwise(0.0).alias("vowelless_text"),
         _share(F.col("dense") - _left(t, r"[\s#{}<>|\\~^*_=\[\]@$&%+]+"), words).alias("symbols_per_word"),
         _share(F.regexp_count(t, F.lit(r"[.!?:\"'»”)\]][ \t]*(?:\n|\z)")), F.col("n_lines")).alias("punctuated_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)^[ \t]*(?:[-*+•–—‣◦]|\d{1,3}[.)]|\[[ xX]\])[ \t]")), F.col("n_lines")).alias("bullet_lines"),

@@ -184,11 +184,12 @@ def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None =
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs ``(id_a, id_b)`` of records that the classes and links stand for, the smaller id first."""
-    members, links = cut(members), cut(links.select("class_a", "class_b"))
-    many = members.groupBy("class").count().filter("count > 1").select("class")
-    twice = members.join(many, "class")
-    inner = twice.select("class", F.col("id").alias("x")).join(twice.select("class", F.col("id").alias("y")), "class").filter("x < y")
-    a = members.select(F.col("class").alias("class_a"), F.col("id").alias("x"))
-    b = members.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
-    outer = links.join(a, "class_a").join(b, "class_b")
-    return inner.select("x", "y").unionByName(outer.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    # A class's least id stands for it, so only classes with further members need a lookup.
+    further = members.filter("class <> id")
+    grown = cut(further.unionByName(further.select("class").distinct().withColumn("id", F.col("class"))))
+    inner = grown.select("class", F.col("id").alias("x")).join(grown.select("class", F.col("id").alias("y")), "class").filter("x < y")
+    a = grown.select(F.col("class").alias("class_a"), F.col("id").alias("x"))
+    b = grown.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
+    outer = links.select("class_a", "class_b").join(a, "class_a", "left").join(b, "class_b", "left")
+    outer = outer.select(F.coalesce("x", "class_a").alias("x"), F.coalesce("y", "class_b").alias("y"))
+    return inner.select("x", "y").unionByName(outer).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

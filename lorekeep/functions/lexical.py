@@ -41,13 +41,15 @@ def query_terms(queries: DataFrame, key: str, text: str, limit: int = 200) -> Da
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tokens(F.substring(F.trim(text), 1, limit)))).alias("term"))
 
 
-def term_documents(docs: DataFrame, key: str, split: Column) -> DataFrame:
-    """``(id, term, tf, length)``: term counts, made inside each document without a shuffle."""
-    words = F.array_sort(split)
-    base = docs.select(F.col(key).alias("id"), words.alias("w")).withColumn("length", F.size("w"))
-    # Equal terms stand together once sorted: each distinct term's count is the gap between its first and last place.
-    counted = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda u: u == t)).alias("tf")))
-    return base.select("id", "length", F.explode(counted).alias("e")).select("id", "e.term", "e.tf", "length")
+def term_documents(docs: DataFrame, key: str, split: Column, only: DataFrame | None = None) -> DataFrame:
+    """``(id, term, tf, length)``: term counts, summed inside each task before the shuffle.
+
+    With ``only`` (a table of terms) other terms are dropped before they are counted.
+    """
+    base = docs.select(F.col(key).alias("id"), split.alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    if only is not None:
+        base = base.join(only.select("term").distinct(), "term", "left_semi")
+    return base.groupBy("id", "length", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", "length")
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
@@ -57,10 +59,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     are joined apart when it holds a large share of all postings.
     """
     wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(bm25_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    postings = term_documents(docs, key, bm25_tokens(F.col(text)))
+    terms = term_documents(docs, key, bm25_tokens(F.col(text)), wanted)
     size = docs.select(F.size(bm25_tokens(F.col(text))).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("mean")).first()
     n, mean = size.n or 0, size.mean or 1.0
-    terms = postings.join(wanted.select("term").distinct(), "term")
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = lookup_join(terms, df, ["term"], "df", max(1, n)).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)))

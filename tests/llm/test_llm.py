@@ -305,3 +305,15 @@ def test_kinds_and_reasons(spark):
     assert quality.statistics(df.limit(0), "id", "t").count() == 0
     long = spark.createDataFrame([(1, prose * 400)], "id long, t string")
     assert quality.kinds(quality.statistics(long, "id", "t")).first().kind == "prose"
+
+
+def test_text_without_vowels_is_measured_in_every_document(spark):
+    r = random.Random(90)
+    words = ["".join(r.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(95)]
+    for at in range(0, 95, 19):
+        words[at] = "the"  # one word in 19 is common
+    spaced = "the team reads " + " ".join("bcd_fgh" for _ in range(9))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, spaced)], "id long, t string")
+    got = {x.id: x for x in quality.kinds(quality.statistics(df, "id", "t")).collect()}
+    assert got[1].common_words > 0.05 and got[1].vowelless_text > 0.8 and got[1].kind == "junk"
+    assert got[2].common_words > 0.05 and got[2].vowelless_text == pytest.approx(63 / 75)

@@ -1,14 +1,15 @@
 """Near-duplicate records: pigeonhole blocks over SimHash fingerprints.
 
-1. Words in a tenth of all texts or more weigh less (a bounded list, counted over all texts).
-2. Each text becomes a SimHash of its distinct words; texts with the same distinct words form one
+1. Each text becomes a SimHash of its distinct words, all of one weight, so that the expected distance
+   of two texts is bounded by their Jaccard similarity; texts with the same distinct words form one
    class and are compared once.
-3. Fingerprints are split into blocks, joined on blocks and compared by Hamming distance.
-4. Pairs that are close enough are checked exactly by the Jaccard similarity of their words.
+2. Fingerprints are split into blocks, joined on blocks and compared by Hamming distance.
+3. Pairs that are close enough are checked exactly by the Jaccard similarity of their words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -24,20 +25,17 @@ from lorekeep.llm.multi_index import code_pairs, pack, shape
 from lorekeep.session import cut
 
 WORD = re.compile(r"[^\W_]+")
-#: Words in this share of all texts or more are common; at most (mean words a text / share) words can be.
-COMMON_SHARE = 0.1
-COMMON_WEIGHT = 1
-OTHER_WEIGHT = 4
-#: The blocks are laid out for pairs that differ in this share of the bits, missing at most this share of them.
-DESIGN_FRACTION = 0.227
+#: The most that two texts of 8 words or more and Jaccard similarity 0.6 differ in, as the expected share of the bits.
+#: The blocks miss at most this share of such pairs.
+DESIGN_FRACTION = 0.2325
 DESIGN_MISS = 0.02
-#: Pairs that differ in more of the bits are dropped before the exact check.
-RADIUS_FRACTION = 0.29
+#: Pairs that differ in so many standard deviations more bits are dropped before the exact check.
+RADIUS_DEVIATIONS = 3
 #: Bits of a fingerprint at least; with fewer, unlike texts come too close by chance.
-LEAST_BITS = 192
+LEAST_BITS = 256
 #: More bits, in words of 64, that are compared only for pairs already close in the first ones.
 MORE_WORDS = 3
-MORE_FRACTION = 0.31
+MORE_FRACTION = 0.31  # over 3 standard deviations past the design, as they are narrower over more bits
 #: Bits of the filter that keeps texts in no close pair out of the shuffle: a fixed 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -56,26 +54,14 @@ def _hash(words: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(np.asarray(words, object), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def common_words(texts: DataFrame, text: str, share: float = COMMON_SHARE) -> list[int]:
-    """64-bit hashes of the words in at least ``share`` of all texts. There are at most (mean words a text) / ``share``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, code, unique = _words(b.column(0))
-            n = np.bincount(code, minlength=len(unique)).astype(np.int64)
-            h = pa.array([*_hash(unique).view(np.int64), None], pa.int64())
-            yield pa.RecordBatch.from_arrays([h, pa.array([*n, b.num_rows], pa.int64())], names=["word", "n"])
-
-    counts = texts.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    return sorted(r.word for r in counts.filter((F.col("n") >= share * total) & F.col("word").isNotNull()).select("word").collect())
+def reach(bits: int) -> int:
+    """Bits that a pair at the design distance differs in at most, but for one such pair in 740."""
+    return int(bits * DESIGN_FRACTION + RADIUS_DEVIATIONS * math.sqrt(bits * DESIGN_FRACTION * (1 - DESIGN_FRACTION)))
 
 
-def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[int]) -> DataFrame:
+def fingerprints(texts: DataFrame, key: str, text: str, bits: int) -> DataFrame:
     """Adds ``words`` (number of distinct words), ``same`` (hash of the set), ``code`` (SimHash) and ``more`` bits, and drops the text."""
     others = [f for f in texts.schema.fields if f.name != text]
-    frequent = np.array(common, np.int64).view(np.uint64)
     size = -(-bits // 64)
     bits = 64 * (size + MORE_WORDS)
 
@@ -83,13 +69,12 @@ def fingerprints(texts: DataFrame, key: str, text: str, bits: int, common: list[
         for b in batches:
             rows, code, unique = _words(b.column(text))
             h = _hash(unique)
-            weight = np.where(np.isin(h, frequent), COMMON_WEIGHT, OTHER_WEIGHT).astype(np.int8)
             state, sign = h.copy(), []
             for _ in range(size + MORE_WORDS):
                 state = (state ^ (state >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 state = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 sign.append(np.unpackbits((state ^ (state >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1))
-            vectors = (np.concatenate(sign, axis=1).astype(np.int8) * 2 - 1) * weight[:, None] if len(h) else np.zeros((0, bits), np.int8)
+            vectors = (np.concatenate(sign, axis=1).astype(np.int8) * 2 - 1) if len(h) else np.zeros((0, bits), np.int8)
             n = np.bincount(rows, minlength=b.num_rows)
             full = np.flatnonzero(n)
             sums = np.zeros((b.num_rows, bits), np.int16 if n.max(initial=0) < 8000 else np.int32)
@@ -154,14 +139,13 @@ def near_duplicates(texts: DataFrame, key: str, text: str, version: str | None =
     n = base.count()
     width, tables = shape(n, DESIGN_FRACTION, DESIGN_MISS)
     bits = -(-max(LEAST_BITS, width * tables) // 64) * 64
-    marks = fingerprints(base, "id", "text", bits, common_words(base, "text"))
+    marks = fingerprints(base, "id", "text", bits)
     best = marks.groupBy("id").agg(F.max(F.struct("version", "words", "same", "code", "more")).alias("m"))
     current = cut(best.select("id", "m.version", "m.words", "m.same", "m.code", "m.more").filter(F.col("words") >= min_words))
     classes = current.groupBy("same", "words").agg(F.min(F.struct("id", "version", "code", "more")).alias("r"))
     classes = cut(classes.select("same", "words", "r.id", "r.version", "r.code", "r.more"))
     members = current.select("id", "same", "words").join(classes.select("same", "words", F.col("id").alias("class")), ["same", "words"]).select("class", "id")
-    radius = int(RADIUS_FRACTION * bits)
-    near = code_pairs(classes.select("id", "code"), width, tables, bits, radius, n)
+    near = code_pairs(classes.select("id", "code"), width, tables, bits, reach(bits), n)
     a, b = (classes.select(F.col("id").alias(f"id_{x}"), F.col("more").alias(f"m{x}"), F.col("words").alias(f"n{x}")) for x in "ab")
     rest = reduce(add, [F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(MORE_WORDS)])
     # The larger set bounds the overlap from both sides, so sizes that differ too much can't be similar enough.

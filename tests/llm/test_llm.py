@@ -88,6 +88,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert members.filter("id > 9000").count() == 0
 
 
+def test_near_duplicates_that_share_common_words(spark):
+    r = random.Random(22)
+    common, texts = [f"common{i}" for i in range(21)], []
+    for i in range(150):
+        both = common + [f"both{i}x{k}" for k in range(13)]
+        for side in "ab":
+            words = both + [f"{side}{i}x{k}" for k in range(11)]
+            texts.append(" ".join(r.sample(words, 45)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    _, links = near_duplicates.near_duplicates(df, "id", "t")
+    got = rows(links, "class_a", "class_b")  # 34 of 56 words shared in each true pair
+    assert set(got) <= {(2 * i, 2 * i + 1) for i in range(150)} and len(got) >= 0.95 * 150
+
+
 def test_near_duplicates_of_nothing_and_of_copies(spark):
     empty = spark.createDataFrame([], "id long, t string")
     members, links = near_duplicates.near_duplicates(empty, "id", "t")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +16,15 @@ CLUSTERED_TYPES = text.CONTENT_TYPES
 SUCCESS_DELTA, FAIL_DELTA = 0.02, 0.12
 
 
-def similar_pairs(lessons: DataFrame, similarity: float, dim: int, limit: int) -> DataFrame:
-    """``(a, b, sim)``: pairs of one role at least so similar, among the ``20 * limit`` most important lessons.
-
-    The number of candidates is the reference feature's own bound, so the comparison is bounded too.
-    """
-    rows = lessons.filter(F.col("is_active") & vectors.usable("embedding", dim))
-    first = rows.orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("created_at"), "id").limit(20 * limit).select("id", "role", "embedding")
-    a = first.select(F.col("id").alias("a"), "role", F.col("embedding").alias("va"))
-    b = first.select(F.col("id").alias("b"), "role", F.col("embedding").alias("vb"))
-    return a.join(b, "role").filter("a < b").select("a", "b", vectors.cosine("va", "vb").alias("sim")).filter(F.col("sim") >= similarity)
+def similar_pairs(lessons: DataFrame, similarity: float, dim: int) -> DataFrame:
+    """``(a, b, sim)``: pairs of one role at least so similar, among all active lessons, compared in blocks."""
+    rows = lessons.filter(F.col("is_active") & vectors.usable("embedding", dim) & F.col("role").isNotNull())
+    given = rows.select("id", F.xxhash64("role").alias("g"), F.col("embedding").alias("v"))
+    found = vectors.block_above(given, given, float(np.nextafter(similarity, -1)), dim).filter("query_id < id")
+    # Roles are compared by hash in the blocks, and by name here.
+    a, b = (rows.select(F.col("id").alias(x), F.col("role").alias(f"role_{x}")) for x in "ab")
+    pairs = found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
+    return pairs.join(a, "a").join(b, "b").filter("role_a = role_b").select("a", "b", "sim")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def consolidate(lessons: DataFrame, similarity: float = 0.92, limit: int = 100,
     The canonical lesson is first by recall count, confidence and importance, then the oldest, then the least id;
     ``member_ids`` lists the others in that order.
     """
-    pairs = cut(similar_pairs(lessons, similarity, dim, limit))
+    pairs = cut(similar_pairs(lessons, similarity, dim))
     roots = clusters(pairs)
     members = roots.join(lessons, "id")
     order = F.struct(

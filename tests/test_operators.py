@@ -154,3 +154,10 @@ def test_statistics(spark):
     x = spark.createDataFrame([(8.0, 10.0)], "k double, n double")
     low, high = x.select(*evaluation.wilson(F.col("k"), F.col("n"))).first()
     assert (round(low, 4), round(high, 4)) == (0.4902, 0.9433)
+
+
+def test_consolidate_compares_all_active_lessons(spark):
+    axis = lambda k: [float(i == k) for i in range(32)]
+    important = [lesson(i, importance=5, embedding=axis(i)) for i in range(1, 26)]
+    df = lessons(spark, *important, *[lesson(i, importance=1, embedding=axis(30)) for i in (40, 41)], lesson(42, importance=1, role="other", embedding=axis(30)), lesson(43, role=None, embedding=axis(30)))
+    assert [(r.canonical_id, r.member_ids) for r in lifecycle.consolidate(df, 0.92, 1, 32).collect()] == [(40, "41")]

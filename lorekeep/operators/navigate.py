@@ -12,6 +12,8 @@ from lorekeep.operators.visibility import json_contains, visible
 # Weights of the navigation score's auxiliary signals, and preview lengths.
 NAVIGATE_AUX = {"importance": 0.05, "recency": 0.05, "provenance": 0.05}
 PREVIEW, NEIGHBOUR_PREVIEW, RELATION_TEXT, NEIGHBOURS = 120, 50, 200, 20
+#: More than there are lessons.
+ALL = 1 << 40
 
 
 def within_budget(ranked: DataFrame, budget: int, straddle: bool = False) -> DataFrame:
@@ -30,14 +32,13 @@ def within_budget(ranked: DataFrame, budget: int, straddle: bool = False) -> Dat
 def locate(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, budget: int = 2000, where: dict | None = None, project: int | None = None, straddle: bool = False) -> DataFrame:
     """``(query_id, id, preview, score, chars, running_chars, path)``: the best lessons whose texts fit the budget together.
 
-    Every visible lesson with a usable vector or a text match is ranked. The pool of a query is bounded
-    before its running sum: texts have at least one character, so no more than ``budget`` rows can fit.
+    Every visible lesson with a usable vector or a text match is ranked by the final score; only the
+    running sum cuts. So the ranks of a query run over all its matches, as many as there are lessons.
     """
     seen = visible(lessons, config, project=project)
     if where:
         seen = seen.filter(json_contains("metadata", where))
-    reach = max(budget, 1)
-    pool = retrieval.fuse(retrieval.pools(queries, seen, None, RecallConfig(**{**config.__dict__, "ef_search": reach}), (reach + 3) // 4), config)
+    pool = retrieval.fuse(retrieval.pools(queries, seen, None, RecallConfig(**{**config.__dict__, "ef_search": ALL}), ALL // 4), config)
     facts = seen.select("id", "importance", "created_at", "commit_sha", "verified_at", F.substring("lesson_text", 1, PREVIEW).alias("preview"), F.length("lesson_text").alias("chars"))
     aux = NAVIGATE_AUX["importance"] * F.col("importance") / 5.0 + NAVIGATE_AUX["recency"] * retrieval.recency(F.col("created_at"), config)
     aux = aux + NAVIGATE_AUX["provenance"] * retrieval.provenance(F.col("commit_sha"), F.col("verified_at"))

@@ -161,3 +161,11 @@ def test_consolidate_compares_all_active_lessons(spark):
     important = [lesson(i, importance=5, embedding=axis(i)) for i in range(1, 26)]
     df = lessons(spark, *important, *[lesson(i, importance=1, embedding=axis(30)) for i in (40, 41)], lesson(42, importance=1, role="other", embedding=axis(30)), lesson(43, role=None, embedding=axis(30)))
     assert [(r.canonical_id, r.member_ids) for r in lifecycle.consolidate(df, 0.92, 1, 32).collect()] == [(40, "41")]
+
+
+def test_locate_ranks_every_match(spark):
+    df = lessons(spark, *[lesson(i, importance=1) for i in range(1, 60)], lesson(60, importance=5, commit_sha="c"))
+    asked = spark.createDataFrame([(7, None, "lesson")], "query_id long, v array<float>, text string")
+    config = RecallConfig(**{**RecallConfig().__dict__, "vec_weight": 0.0, "dim": 4})
+    got = navigate.locate(asked, df, None, config, budget=40).collect()
+    assert max(got, key=lambda r: r.score).id == 60 and sum(r.chars for r in got) <= 40

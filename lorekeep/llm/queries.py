@@ -155,15 +155,15 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents that are not prose, and what they are instead."""
-    stats = quality.statistics(table(spark, base, "documents"), "doc_id", "text")
-    return quality.kinds(stats).filter("kind <> 'prose'").select("doc_id", "kind")
+    return quality.not_prose(table(spark, base, "documents"), "doc_id", "text")
 
 
 @query("p9_statistics")
 def p9_statistics(spark: SparkSession, base: str) -> DataFrame:
-    """All statistics of each document, its kind, and the prose rules it fails."""
+    """All statistics of each document, its kind and why, and the prose rules it fails."""
     stats = quality.statistics(table(spark, base, "documents"), "doc_id", "text")
-    return quality.reasons(quality.kinds(stats)).withColumn("reasons", F.array_join("reasons", "; "))
+    made = quality.reasons(quality.kind_reasons(quality.kinds(stats)))
+    return made.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("because", F.array_join("because", "; "))
 
 
 def _windows(spark: SparkSession, base: str) -> list:

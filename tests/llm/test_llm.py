@@ -310,10 +310,14 @@ def test_kinds_and_reasons(spark):
         8: ("a0b1c2d3" * 40, "junk"),
         9: ("T h e   w o r k e r   c h e c k s   t h e   q u e u e   a n d   t h e   r e p o r t", "junk"),
         10: (prose + "\n- one\n- two\n- three\n\n" + prose, "prose"),
+        12: ("".join(r.choices("!#$%&*+-./<=>?@[]^_{|}~ab01  ", k=400)), "junk"),
+        13: ("+---+---+\n| 1 | 2 |\n+---+---+\n| 3 | 4 |\n+---+---+", "table"),
         11: ("tqrq sl wqxw tjrxvd hwqvxvsqx jxqkfgqzx qwlz rvwknhzvzd mwkgmlh", "junk"),
     }
     df = spark.createDataFrame([(k, t) for k, (t, _) in data.items()], "id long, t string").withColumn("n_words", F.lit("clash"))
-    got = {r.id: r for r in quality.reasons(quality.kinds(quality.statistics(df, "id", "t"))).collect()}
+    got = {r.id: r for r in quality.kind_reasons(quality.reasons(quality.kinds(quality.statistics(df, "id", "t")))).collect()}
+    assert got[12].because[0] == "junk: random characters" and got[1].because == []
+    assert rows(quality.not_prose(df, "id", "t"), "id", "kind") == sorted((k, kind) for k, (_, kind) in data.items() if kind != "prose")
     assert {k: r.kind for k, r in got.items()} == {k: kind for k, (_, kind) in data.items()}
     assert got[1].reasons == [] and got[5].reasons and got[7].n_words == 0
     assert quality.statistics(df.limit(0), "id", "t").count() == 0

@@ -16,13 +16,13 @@ WORD = re.compile(r"[^\W_]+")
 SLICE_BYTES = 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``SLICE_BYTES`` of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``limit`` bytes of ``column`` (one row at least)."""
     for b in batches:
         if not b.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.unique(np.searchsorted(size, np.arange(SLICE_BYTES, size[-1], SLICE_BYTES), side="left") + 1) if size[-1] > SLICE_BYTES else []
+        cuts = np.unique(np.searchsorted(size, np.arange(limit, size[-1], limit), side="left") + 1) if size[-1] > limit else []
         edges = [0, *[int(c) for c in cuts if c < b.num_rows], b.num_rows]
         for s, e in zip(edges, edges[1:], strict=False):
             yield b.slice(s, e - s)

@@ -1,125 +1,109 @@
-"""Pigeonhole join of binary codes: codes that are close in Hamming distance share a substring.
+"""Pigeonhole join of fingerprints: fingerprints that are close in Hamming distance share a block.
 
-A code of ``tables * width`` bits is split into ``tables`` substrings, and every code is indexed
-under each. Two codes that differ in fewer than ``tables`` bits share a substring for certain;
-codes that differ in a fraction ``f`` of their bits share one with probability
-``1 - (1 - (1 - f) ** width) ** tables``. :func:`shape` chooses both numbers for a stated ``f``.
+A fingerprint is split into blocks, and every record is indexed under each block's value. Two
+fingerprints that differ in fewer places than there are blocks share a block for certain; beyond
+that they share one with a probability that the callers choose their numbers of blocks by.
+The records of a block meet in a sort-merge join inside the JVM, where their codes are compared.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Codes a bucket holds on average; the width of the substrings follows from it and the row count.
-BUCKET = 2400
-#: A bucket of more codes is cut into chunks, and each pair of chunks is one task's work.
+from lorekeep.session import cut
+
+#: A block value with more entries is cut into chunks of about so many, and each pair of chunks meets by itself.
 CHUNK = 8192
-#: Codes compared at once: the working arrays stay in the processor's cache.
-ROWS = 128
+#: Values counted at once in a task, and the least count that a task reports.
+COUNTED, REPORTED = 1 << 23, 64
 
 
-def shape(n: int, fraction: float, miss: float) -> tuple[int, int]:
-    """``(width, tables)`` for ``n`` codes such that a pair at ``fraction`` is missed with at most ``miss``."""
-    width = max(4, math.ceil(math.log2(max(2, n) / BUCKET)) if n > BUCKET else 4)
-    return width, math.ceil(math.log(miss) / math.log(1 - (1 - fraction) ** width))
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on all bits of the value."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def pack(bits: np.ndarray) -> np.ndarray:
-    """Rows of bits as rows of 64-bit words, zero filled."""
+def longs(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit integers, zero filled."""
     raw = np.packbits(bits, axis=1)
     full = np.zeros((len(bits), -(-raw.shape[1] // 8) * 8), np.uint8)
     full[:, : raw.shape[1]] = raw
-    return full
+    return full.view(np.int64)
 
 
-def _keys(code: np.ndarray, width: int, tables: int) -> np.ndarray:
-    bits = np.unpackbits(code, axis=1)[:, : width * tables].reshape(len(code), tables, width)
-    return bits.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+def lists(values: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as an array of lists."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, np.ascontiguousarray(values).view(np.int64).ravel())
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+def heavy_slots(marks: DataFrame, limit: int) -> DataFrame:
+    """``(slot, chunks)`` of the block values with more than ``limit`` entries, counted before any shuffle.
 
+    A task reports only what it holds ``REPORTED`` times and more, so a value that is spread thinly over
+    very many tasks can exceed the limit by that much a task before it is split.
+    """
 
-def code_pairs(codes: DataFrame, width: int, tables: int, bits: int, radius: int, expected: int) -> DataFrame:
-    """``(id_a, id_b, distance)`` of the codes at most ``radius`` bits apart that share a substring.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
-    ``codes`` is ``(id long, code binary)`` with ``id`` unique and codes of :func:`pack`; the first
-    ``width * tables`` of their ``bits`` are indexed, all are compared. ``expected`` is about the number of codes. Each pair comes out once,
-    from the first substring it shares, so no distinct is needed. Buckets above a limit (and there
-    are at most 65,536 of them, by counting) are cut into chunks and compared chunk by chunk; no
-    bucket is capped. An empty input gives no rows.
-    """
-    size = -(-bits // 64) * 8
+        def report() -> pa.RecordBatch:
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(slot[keep]), pa.array(n[keep].astype(np.int64))], names=["slot", "n"])
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys = _keys(_matrix(b.column("code"), size), width, tables)
-            at = np.arange(tables, dtype=np.int64) << width
-            slot = (keys + at).ravel()
-            rows = pa.array(np.repeat(np.arange(b.num_rows), tables))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("id").take(rows), b.column("code").take(rows)], names=["slot", "id", "code"])
-
-    entries = codes.mapInArrow(index, "slot long, id long, code binary")
-    limit = max(CHUNK, expected * tables >> 16)
-    sizes = codes.select("code").mapInArrow(_slots(size, width, tables), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    hot = sizes.filter(F.col("n") > limit).select("slot", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
-    # Wide enough tables of slots would be large: the filter keeps at most tables * rows / limit of them.
-    entries = entries.join(F.broadcast(hot), "slot", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    blocks = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own")))
-    )
-    cells = entries.withColumn("_b", F.explode(blocks)).select("slot", "_b.i", "_b.j", "_b.own", "id", "code")
-
-    def compare(key: tuple, cell: pa.Table) -> pa.Table:
-        slot, i, j = (k.as_py() for k in key)
-        cell = cell.combine_chunks()
-        ids = cell.column("id").to_numpy()
-        code = _matrix(cell.column("code"), size)
-        words = code.view(np.uint64)
-        left = np.arange(len(ids)) if i == j else np.flatnonzero(cell.column("own").to_numpy() == i)
-        right = left if i == j else np.flatnonzero(cell.column("own").to_numpy() == j)
-        lw, rw = words[left], np.ascontiguousarray(words[right].T)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for s in range(0, len(left), ROWS):
-            first = s if i == j else 0
-            d = np.bitwise_count(lw[s : s + ROWS, :1] ^ rw[0][None, first:])
-            for k in range(1, len(rw)):
-                d += np.bitwise_count(lw[s : s + ROWS, k : k + 1] ^ rw[k][None, first:])
-            p, q = np.nonzero(d <= radius)
-            if i == j:
-                keep = q > p
-                p, q = p[keep], q[keep]
-            if len(p):
-                found.append((left[p + s], right[q + first], d[p, q]))
-        if not found:
-            return pa.table({"id_a": pa.array([], pa.int64()), "id_b": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
-        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
-        same = ~np.unpackbits(code[a] ^ code[b], axis=1)[:, : width * tables].reshape(len(a), tables, width).any(axis=2)
-        keep = same.argmax(axis=1) == slot >> width
-        a, b, d = a[keep], b[keep], d[keep]
-        return pa.table({"id_a": np.minimum(ids[a], ids[b]), "id_b": np.maximum(ids[a], ids[b]), "distance": d.astype(np.int32)})
-
-    return cells.groupBy("slot", "i", "j").applyInArrow(compare, "id_a long, id_b long, distance int")
-
-
-def _slots(size: int, width: int, tables: int):
-    """Counts codes by slot in each batch, before the shuffle."""
+            held.append(b.column("slots").flatten().to_numpy())
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield report()
+                held, size = [], 0
+        if size:
+            yield report()
+
+    counts = marks.select("slots").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") > limit).select("slot", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys = _keys(_matrix(b.column("code"), size), width, tables) + (np.arange(tables, dtype=np.int64) << width)
-                slot, n = np.unique(keys.ravel(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    return count
+def close_pairs(marks: DataFrame, code: list[str], radius: int, rows: int, blocks: int) -> DataFrame:
+    """Distinct ``(id_a, id_b)`` of the records that share a block and differ in at most ``radius`` bits.
+
+    ``marks`` has ``id``, ``slots`` (the values of the record's blocks) and the columns ``code`` of
+    64-bit words; it is read several times, so pass a materialised table. ``rows`` is its number of rows
+    and ``blocks`` the greatest length of ``slots``. Equal records may repeat; a record does not meet itself.
+    Heavy block values (at most 65,536 of them, by counting) are cut into chunks; none is capped.
+    """
+    limit = max(CHUNK, rows * blocks >> 16)
+    heavy = cut(heavy_slots(marks, limit))
+    entries = marks.select(F.explode("slots").alias("slot"), "id", *code)
+    plain = entries
+    found = []
+    if not heavy.isEmpty():
+        plain = entries.join(F.broadcast(heavy), "slot", "left_anti")
+        own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+        hot = entries.join(F.broadcast(heavy), "slot").withColumn("own", own)
+        left = hot.withColumn("j", F.explode(F.sequence("own", F.col("chunks") - 1))).withColumnRenamed("own", "i")
+        right = hot.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "j")
+        found.append(_meet(left, right, ["slot", "i", "j"], code, radius))
+    found.append(_meet(plain, plain, ["slot"], code, radius))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], code: list[str], radius: int) -> DataFrame:
+    """The close pairs among the rows that agree in the keys; rows of one chunk meet once."""
+    a = left.select(*keys, F.col("id").alias("x"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(code)])
+    b = right.select(*keys, F.col("id").alias("y"), *[F.col(c).alias(f"y{k}") for k, c in enumerate(code)])
+    apart = reduce(add, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(len(code))], F.lit(0))
+    once = F.col("x") < F.col("y") if len(keys) == 1 else (F.col("x") < F.col("y")) | ((F.col("i") < F.col("j")) & (F.col("x") != F.col("y")))
+    met = a.hint("merge").join(b, keys).filter(once & (apart <= radius))
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

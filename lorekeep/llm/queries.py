@@ -63,14 +63,49 @@ def p1_ranking(spark: SparkSession, base: str) -> DataFrame:
     return rank_fusion.borda(_current_candidates(spark, base), "query_id", "lesson_id", BORDA, missing="lowest")
 
 
-@query("p2_found")
+P2_SQL = """
+with recursive l as (select id, lesson_text from agent_lesson qualify row_number() over (partition by id order by updated_at desc) = 1),
+w as (select id, unnest(list_distinct(regexp_extract_all(lower(lesson_text), '[\\p{L}\\p{N}]+'))) as w from l),
+n as (select id, count(*) as n, hash(list_sort(list(w))) as same from w group by id having count(*) >= 8),
+s as (select a.id as id_a, b.id as id_b, count(*) as k from w a join w b on a.w = b.w and a.id < b.id group by all),
+p as (select id_a, id_b from s join n x on x.id = id_a join n y on y.id = id_b where k >= 0.6 * (x.n + y.n - k)),
+"""
+
+
+@query("p2_found", P2_SQL + "e as (select 1) select id_a, id_b from p")
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of lessons whose texts share at least 0.6 of their distinct words."""
     members, links = near.near_duplicates(table(spark, base, "agent_lesson"), "id", "lesson_text", "updated_at", threshold=0.6, min_words=8)
     return near.expand(members, links)
 
 
-@query("p3_found")
+P2_GROUPS_SQL = P2_SQL + """
+c as (select id, min(id) over (partition by same) as class from n),
+k as (select distinct x.class as a, y.class as b from p join c x on x.id = id_a join c y on y.id = id_b where x.class <> y.class),
+e as (select a, b from k union select b, a from k),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+g as (select a, least(a, min(b)) as root from r group by a), d as (select a, count(distinct b) as n_links from e group by a)
+select id as lesson_id, class, coalesce(root, class) as "group", coalesce(n_links, 0)::bigint as n_links
+from c left join g on g.a = class left join d on d.a = class
+"""
+
+
+@query("p2_groups", P2_GROUPS_SQL)
+def p2_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Every lesson with the class of its words, its group of near duplicates and its class's number of links."""
+    members, links = near.near_duplicates(table(spark, base, "agent_lesson"), "id", "lesson_text", "updated_at", threshold=0.6, min_words=8)
+    return near.groups(members, cut(links)).withColumnRenamed("id", "lesson_id")
+
+
+P3_SQL = """
+with l as (select id, embedding from agent_lesson qualify row_number() over (partition by id order by updated_at desc) = 1),
+u as materialized (select id, embedding::double[64] as e from l where embedding is not null and len(embedding) = 64
+           and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0)
+select a.id as id_a, b.id as id_b from u a join u b on a.id < b.id where array_cosine_similarity(a.e, b.e) >= 0.9
+"""
+
+
+@query("p3_found", P3_SQL)
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of lessons whose embeddings have a cosine of at least 0.9."""
     return vectors.similar_pairs(table(spark, base, "agent_lesson"), "id", "embedding", "updated_at", dim=64, cosine=0.9).select("id_a", "id_b")
@@ -138,7 +173,16 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return groups.components(links, "id_a", "id_b").withColumnRenamed("id", "lesson_id")
 
 
-@query("p8_found")
+P8_SQL = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+i as (select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_item),
+d as (select doc_id, hash(w[k : k + 11]) as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from w where len(w) >= 12)),
+t as (select item_id, hash(w[k : k + 11]) as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12))
+select distinct doc_id, item_id from d join t using (g)
+"""
+
+
+@query("p8_found", P8_SQL)
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an evaluation item."""
     return leakage.leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_item"), "item_id", "item_text", span=12)

@@ -1,31 +1,38 @@
 """Most similar vectors: multi-index hashing over learned rotated binary codes, floats reranked.
 
 A rotation is learned on a bounded sample (iterative quantisation): it turns the vectors so that
-their signs lose little. Several rotations, each from another start, give longer codes. Every
-vector is indexed under each substring of its code; vectors that share a substring and lie within
-the Hamming radius are reranked by their true cosine.
+their signs lose little. Several rotations, each from another start, give longer codes. A code is
+split into substrings; every vector is indexed under each of them and under its nearest probes, which
+flip the bits that the vector is least sure of. Vectors that meet and lie within the Hamming radius
+are reranked by their true cosine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.multi_index import code_pairs, pack, shape
+from lorekeep.llm.multi_index import close_pairs, lists, longs, mix
 from lorekeep.session import cut
 
-#: Vectors the rotations are learned on, at most; all vectors are indexed.
+#: Vectors the rotations are learned on, at most, those of the least hashed ids; all vectors are indexed.
 SAMPLE = 8192
 ITERATIONS = 25
-#: Pairs at the threshold are missed with at most this probability (closer ones with less).
+#: Pairs at the threshold never meet with at most this probability (closer ones with less).
 MISS = 0.01
-LEAST_BITS = 128
+BITS = 128
+CODE = [f"c{k}" for k in range(BITS // 64)]
+#: Bits of a substring at least, and records that share one by chance, about.
+LEAST_WIDTH, BUCKET = 12, 128
 #: Standard deviations of the Hamming distance at the threshold by which the radius exceeds its mean.
 SLACK = 3.0
+#: Pairs drawn to find how often two vectors at the threshold meet.
+DRAWN = 4000
 
 
 def usable(vector: str, dim: int) -> F.Column:
@@ -56,17 +63,59 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def encode(vectors: DataFrame, vector: str, dim: int, rotation: np.ndarray) -> DataFrame:
-    """Replaces the vector by its binary ``code``; the other columns stay."""
+def _slots(turned: np.ndarray, width: int, tables: int, probes: int) -> np.ndarray:
+    """The values a vector is indexed under: each substring, and each with one of its ``probes`` least sure bits flipped."""
+    part = turned[:, : tables * width].reshape(len(turned), tables, width)
+    weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    key = ((part > 0) * weight).sum(axis=2, dtype=np.uint64)
+    unsure = np.argsort(np.abs(part), axis=2)[:, :, :probes].astype(np.uint64)
+    keys = np.concatenate([key[:, :, None], key[:, :, None] ^ (np.uint64(1) << unsure)], axis=2)
+    return mix(keys ^ mix(np.arange(1, tables + 1, dtype=np.uint64))[:, None]).reshape(len(turned), -1)
+
+
+@lru_cache
+def shape(n: int, cosine: float, dim: int) -> tuple[int, int, int]:
+    """``(width, tables, probes)`` for ``n`` vectors: of those by which pairs at ``cosine`` are missed seldom enough, the fewest entries.
+
+    The chance to meet is measured on drawn pairs, as it depends on how sure the flipped bits are.
+    """
+    width = max(LEAST_WIDTH, int(np.ceil(np.log2(max(1, n) / BUCKET))) if n > BUCKET else 0)
+    rng = np.random.default_rng(3)
+    x, z = rng.standard_normal((2, DRAWN, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    most = 2 * BITS // width
+    turn = learn_rotations(np.zeros((0, dim)), most * width)
+    best = None
+    for probes in range(width + 1):
+        a, b = (_slots(v @ turn, width, most, probes).reshape(DRAWN, most, -1) for v in (x, y))
+        met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+        missed = [1 - met[:, :t].any(axis=1).mean() for t in range(1, most + 1)]
+        tables = next((t for t, m in enumerate(missed, 1) if m <= MISS), None)
+        if tables and (best is None or tables * (probes + 1) < best[1] * (best[2] + 1)):
+            best = (width, tables, probes)
+        if best and probes > best[2] + 2:
+            break
+    return best or (width, most, width)
+
+
+def encode(vectors: DataFrame, vector: str, dim: int, rotation: np.ndarray, width: int, tables: int, probes: int) -> DataFrame:
+    """Replaces the vector by its ``slots`` and its code; the other columns stay."""
     others = [f for f in vectors.schema.fields if f.name != vector]
+    names = [*[f.name for f in others], "slots", *CODE]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                code = pack(_rows(b.column(vector), dim) @ rotation > 0)
-                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in others], pa.array([r.tobytes() for r in code], pa.binary())], names=[*[f.name for f in others], "code"])
+                turned = _rows(b.column(vector), dim) @ rotation
+                code = longs(turned[:, :BITS] > 0)
+                out = [b.column(f.name) for f in others]
+                out += [lists(_slots(turned, width, tables, probes)), *[pa.array(np.ascontiguousarray(code[:, k])) for k in range(len(CODE))]]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return vectors.mapInArrow(make, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "code binary"]))
+    schema = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "slots array<long>", *[f"{c} long" for c in CODE]]
+    return vectors.mapInArrow(make, ", ".join(schema))
 
 
 def _usable_rows(records: DataFrame, key: str, vector: str, version: str | None, dim: int) -> DataFrame:
@@ -75,7 +124,8 @@ def _usable_rows(records: DataFrame, key: str, vector: str, version: str | None,
 
 
 def _learn(good: DataFrame, bits: int, dim: int) -> np.ndarray:
-    rows = good.select("v").limit(SAMPLE).toPandas().v
+    """Rotations learned on the vectors of least hashed id: the same sample whatever the order of the rows."""
+    rows = good.select("id", "v").orderBy(F.xxhash64("id"), "id", F.hash("v")).limit(SAMPLE).toPandas().v
     sample = np.stack(rows).astype(np.float64) if len(rows) else np.eye(dim)
     return learn_rotations(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits)
 
@@ -86,24 +136,24 @@ def similar_pairs(records: DataFrame, key: str, vector: str, version: str | None
     ``key`` may repeat: with ``version`` the row with its greatest value counts; if that row's vector
     is not usable (null, of another length, all zero, or with a null, NaN or infinite element) the
     record gives no row. Rows with a null key are dropped. Vectors need not have length one. A pair
-    exactly at the threshold is missed with a probability of at most ``MISS``; closer ones with less.
+    exactly at the threshold is missed with a probability of about ``MISS``; closer ones with less.
     """
     base = _usable_rows(records, key, vector, version, dim)
     n = base.count()
+    width, tables, probes = shape(n, cosine, dim)
     fraction = float(np.arccos(cosine) / np.pi)
-    width, tables = shape(n, fraction, MISS)
-    bits = -(-max(LEAST_BITS, width * tables) // 64) * 64
-    radius = int(bits * fraction + SLACK * np.sqrt(bits * fraction * (1 - fraction)))
+    radius = int(BITS * fraction + SLACK * np.sqrt(BITS * fraction * (1 - fraction)))
+    # Only ids and versions are shuffled to find the current rows.
+    newest = base.groupBy("id").agg(F.max(F.struct("version", "ok")).alias("m"))
+    newest = cut(newest.select("id", "m.version", "m.ok"))
     good = base.filter("ok").drop("ok")
-    marks = encode(good, "v", dim, _learn(good, bits, dim)).unionByName(base.filter(~F.col("ok")).select("id", "version", F.lit(None).cast("binary").alias("code")))
-    newest = marks.groupBy("id").agg(F.max(F.struct("version", "code")).alias("m")).select("id", "m.version", "m.code").filter(F.col("code").isNotNull())
-    codes = cut(newest)
-    close = cut(code_pairs(codes.select("id", "code"), width, tables, bits, radius, n))
-    # Only the vectors of records in a close pair are fetched again.
-    involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(codes.select("id", "version"), "id")
+    # Vectors of older versions are indexed too and fall out below, which spares a join of all vectors.
+    marks = cut(encode(good, "v", dim, _learn(good, max(BITS, width * tables), dim), width, tables, probes))
+    close = cut(close_pairs(marks.select("id", "slots", *CODE), CODE, radius, n, tables * (probes + 1)))
+    involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(newest.filter("ok").select("id", "version"), "id")
     floats = good.join(involved, ["id", "version"]).dropDuplicates(["id"]).select("id", "v")
     a, b = floats.select(F.col("id").alias("id_a"), F.col("v").alias("va")), floats.select(F.col("id").alias("id_b"), F.col("v").alias("vb"))
-    pairs = close.select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
+    pairs = close.join(a, "id_a").join(b, "id_b")
     return rerank(pairs, dim).filter(F.col("cosine") >= cosine)
 
 

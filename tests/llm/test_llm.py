@@ -111,17 +111,19 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
     assert links.count() == 0 and rows(members.select("class").distinct(), "class") == [(0,)] and members.count() == 200
 
 
-def test_hot_buckets_are_cut_and_lose_no_pair(spark, monkeypatch):
+def test_hot_blocks_are_cut_and_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(3)
     bits = rng.integers(0, 2, (60, 64)).astype(bool)
-    bits[:40, :16] = False  # forty codes share two buckets
-    packed = multi_index.pack(bits)
-    codes = spark.createDataFrame([(i, bytes(c)) for i, c in enumerate(packed)], "id long, code binary")
-    true = {(i, j) for i in range(60) for j in range(i + 1, 60) if (bits[i] != bits[j]).sum() <= 26 and any((bits[i, k : k + 8] == bits[j, k : k + 8]).all() for k in range(0, 64, 8))}
-    whole = set(rows(multi_index.code_pairs(codes, 8, 8, 64, 26, 60), "id_a", "id_b"))
+    bits[:40, :16] = False  # forty codes share two blocks
+    slots = np.packbits(bits, axis=1).astype(int) + 256 * np.arange(8)
+    code = multi_index.longs(bits)[:, 0]
+    marks = spark.createDataFrame([(i, slots[i].tolist(), int(code[i])) for i in range(60)] * 2, "id long, slots array<long>, c0 long")
+    true = {(i, j) for i in range(60) for j in range(i + 1, 60) if (bits[i] != bits[j]).sum() <= 26 and set(slots[i]) & set(slots[j])}
+    assert rows(multi_index.close_pairs(marks, ["c0"], 26, 120, 8), "id_a", "id_b") == sorted(true)
     monkeypatch.setattr(multi_index, "CHUNK", 4)
-    cut_up = rows(multi_index.code_pairs(codes, 8, 8, 64, 26, 60), "id_a", "id_b")
-    assert whole == true and cut_up == sorted(true)
+    monkeypatch.setattr(multi_index, "REPORTED", 1)
+    assert multi_index.heavy_slots(marks, 4).count() > 1
+    assert rows(multi_index.close_pairs(marks, ["c0"], 26, 120, 8), "id_a", "id_b") == sorted(true)
 
 
 # ---- 3: similar vectors ----

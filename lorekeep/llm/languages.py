@@ -47,6 +47,8 @@ SKETCH = 64
 SEGMENT_WORDS, TOPIC_WORDS = 4, 3
 #: Cosine under which a segment has no language, and the lead over the next language.
 LEAST_COSINE, LEAST_LEAD = 0.2, 0.002
+#: Texts with fewer distinct words, or a smaller share of plain words, are placeholders or machine output.
+PROSE_WORDS, PROSE_SHARE = 8, 0.3
 #: Words a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 200_000
 
@@ -61,21 +63,37 @@ def label_code(label: Column) -> Column:
     return F.create_map(*pairs)[F.split(F.lower(F.trim(label)), "[-_]")[0]]
 
 
-def plain_words(segment: str) -> list[str]:
-    """Distinct words of letters only: names with digits or hyphens, paths and codes are left out."""
-    out = {}
+def _plain(segment: str) -> tuple[list[str], int]:
+    """Distinct words of letters only, and their number with repetitions: names with digits or hyphens, paths and codes are left out."""
+    out, n = {}, 0
     for t in segment.replace("'", " ").replace("’", " ").split():
         w = t.strip(OUTER)
         if w.isalpha():
             out[w.lower()] = None
-    return list(out)
+            n += 1
+    return list(out), n
 
 
-def segments(text: str) -> list[list[str]]:
-    """The plain words of each sentence or line, without quotes, remarks in brackets and a leading note mark."""
+def counted_segments(text: str) -> list[tuple[list[str], int]]:
+    """The plain words of each sentence or line, without quotes, remarks in brackets and a leading note mark, and their number."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    return [plain_words(ASIDE.sub(" ", s)) for s in SEGMENT.split(text)]
+    return [_plain(ASIDE.sub(" ", s)) for s in SEGMENT.split(text)]
+
+
+def segments(text: str) -> list[list[str]]:
+    """The distinct plain words of each sentence or line."""
+    return [words for words, _ in counted_segments(text)]
+
+
+def _distinct(text: str, enough: int) -> int:
+    """Distinct words of the text; counting stops at ``enough``."""
+    seen = set()
+    for m in WORD.finditer(text.lower()):
+        seen.add(m.group())
+        if len(seen) == enough:
+            break
+    return len(seen)
 
 
 def _grams(word: str) -> list[str]:
@@ -208,7 +226,7 @@ class _Scorer:
 
 
 def segment_languages(texts: DataFrame, text: str, model: Model, least_words: int = SEGMENT_WORDS, whole: bool = False) -> DataFrame:
-    """Adds ``found``, an array of ``(segment, lang, confidence)``, and ``shape`` (distinct words, plain share), and drops ``text``.
+    """Adds ``found``, an array of ``(segment, lang, confidence)``, and ``words`` (distinct words, counted up to ``PROSE_WORDS``) and ``plain`` (share of plain words), and drops ``text``.
 
     Segments are sentences and lines, numbered from 0; with ``whole`` the text is one segment. A
     segment with fewer than ``least_words`` plain words, or too far from every centroid, has no entry.
@@ -222,13 +240,13 @@ def segment_languages(texts: DataFrame, text: str, model: Model, least_words: in
         for b in slices(batches, text):
             lists, owner, number, distinct, share = [], [], [], [], []
             for i, t in enumerate(b.column(text).to_pylist()):
-                own = segments(t or "")
+                counted = counted_segments(t or "")
+                own = [words for words, _ in counted]
                 if whole:
                     own = [list(dict.fromkeys(w for s in own for w in s))]
                 raw = len((t or "").split())
-                share.append(sum(map(len, own)) / raw if raw else 0.0)
-                # The count of distinct words matters only where it is small.
-                distinct.append(len(set(WORD.findall(t.lower()))) if t and len(t) < 400 else min(raw, 99))
+                share.append(sum(n for _, n in counted) / raw if raw else 0.0)
+                distinct.append(_distinct(t or "", PROSE_WORDS))
                 for k, ws in enumerate(own):
                     if len(ws) >= least_words:
                         lists.append(ws)
@@ -260,10 +278,6 @@ def document_languages(found: Column) -> Column:
     return F.reverse(F.array_sort(every))
 
 
-#: Texts with fewer distinct words, or a smaller share of plain words, are placeholders or machine output.
-PROSE_WORDS, PROSE_SHARE = 8, 0.3
-
-
 def wrong_or_missing(records: DataFrame, key: str, text: str, topic: str, label: str, model: Model, version: str | None = None) -> DataFrame:
     """``(key, field_name, lang)``: languages of texts whose label is missing, unknown or wrong, or that mix languages, and of topics in a language of their own.
 

@@ -146,3 +146,10 @@ def pack(items: DataFrame, capacities: list[int], shard: int = SHARD, step_token
         return pa.table(out)
 
     return sharded.groupBy("shard").applyInArrow(place, "id long, part int, start long, n long, capacity int, container long, step long, offset long")
+
+
+def usage(packed: DataFrame) -> DataFrame:
+    """``(capacity, containers, items, tokens, unused_share)`` of each container size; an empty packing gives no rows."""
+    boxes = packed.groupBy("capacity", "container").agg(F.sum("n").alias("n"), F.count("*").alias("items"))
+    out = boxes.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"))
+    return out.withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))

@@ -111,6 +111,13 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, base, "agent_lesson"), "id", "embedding", "updated_at", dim=64, cosine=0.9).select("id_a", "id_b")
 
 
+@query("p3_nearest")
+def p3_nearest(spark: SparkSession, base: str) -> DataFrame:
+    """The ten most similar lessons of every lesson whose id is divisible by 50, among all lessons."""
+    lessons = current_lessons(spark, base, "embedding").filter(vectors.usable("embedding", 64)).select("id", F.col("embedding").alias("v"))
+    return vectors.nearest(lessons.filter("id % 50 = 0"), lessons, 10, dim=64).select("query_id", "id", "cosine", "rank")
+
+
 def _rules() -> list[tuple]:
     """The survivor's order: each field with the values it may have, and whether more is better."""
     created = F.col("created_at")
@@ -196,6 +203,17 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return languages.wrong_or_missing(lessons, "id", "lesson_text", "topic", "lang", model, "updated_at").withColumnRenamed("id", "lesson_id")
 
 
+@query("p6_segments")
+def p6_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Each sentence or line of a lesson's text, and its topic, with its language and a confidence, where one is near enough."""
+    lessons = current_lessons(spark, base, "lesson_text", "topic", "metadata").withColumn("lang", F.get_json_object("metadata", "$.lang"))
+    model = languages.train(lessons, "lesson_text", "lang")
+    texts = languages.segment_languages(lessons.select("id", "lesson_text"), "lesson_text", model)
+    topics = languages.segment_languages(lessons.select("id", "topic"), "topic", model, languages.TOPIC_WORDS, whole=True)
+    both = texts.withColumn("field_name", F.lit("lesson_text")).unionByName(topics.withColumn("field_name", F.lit("topic")))
+    return both.select(F.col("id").alias("lesson_id"), "field_name", F.explode("found").alias("s")).select("lesson_id", "field_name", "s.segment", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents that are not prose, and what they are instead."""
@@ -231,3 +249,9 @@ def p7_each_window(spark: SparkSession, base: str) -> DataFrame:
     for p in packed[1:]:
         out = out.unionByName(p)
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("p7_unused")
+def p7_unused(spark: SparkSession, base: str) -> DataFrame:
+    """Containers, tokens and the share of unused space of each context size, all documents packed for it by itself."""
+    return packing.usage(p7_each_window(spark, base))

@@ -123,9 +123,14 @@ def _usable_rows(records: DataFrame, key: str, vector: str, version: str | None,
     return records.select(*columns).filter(F.col("id").isNotNull()).withColumn("ok", usable("v", dim))
 
 
-def _learn(good: DataFrame, bits: int, dim: int) -> np.ndarray:
-    """Rotations learned on the vectors of least hashed id: the same sample whatever the order of the rows."""
-    rows = good.select("id", "v").orderBy(F.xxhash64("id"), "id", F.hash("v")).limit(SAMPLE).toPandas().v
+def _learn(good: DataFrame, bits: int, dim: int, n: int) -> np.ndarray:
+    """Rotations learned on vectors of least hashed id: the same sample whatever the order of the rows.
+
+    About twice ``SAMPLE`` of the ``n`` rows reach the driver, however many there are.
+    """
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    picked = good.select("v", share.alias("h")).filter(F.col("h") < (1 << 40) * min(1.0, 2 * SAMPLE / max(1, n))).toPandas()
+    rows = picked.sort_values("h", kind="stable").v.head(SAMPLE)
     sample = np.stack(rows).astype(np.float64) if len(rows) else np.eye(dim)
     return learn_rotations(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits)
 
@@ -148,7 +153,7 @@ def similar_pairs(records: DataFrame, key: str, vector: str, version: str | None
     newest = cut(newest.select("id", "m.version", "m.ok"))
     good = base.filter("ok").drop("ok")
     # Vectors of older versions are indexed too and fall out below, which spares a join of all vectors.
-    marks = cut(encode(good, "v", dim, _learn(good, max(BITS, width * tables), dim), width, tables, probes))
+    marks = cut(encode(good, "v", dim, _learn(good, max(BITS, width * tables), dim, n), width, tables, probes))
     close = cut(close_pairs(marks.select("id", "slots", *CODE), CODE, radius, n, tables * (probes + 1)))
     involved = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(newest.filter("ok").select("id", "version"), "id")
     floats = good.join(involved, ["id", "version"]).dropDuplicates(["id"]).select("id", "v")
@@ -170,47 +175,48 @@ def rerank(pairs: DataFrame, dim: int) -> DataFrame:
     return pairs.select("id_a", "id_b", "va", "vb").mapInArrow(make, "id_a long, id_b long, cosine double")
 
 
-#: Of the vectors closest by Hamming distance, so many times k are reranked by cosine.
-RERANK = 40
+#: Bits past the k-th closest code that are reranked too, in standard deviations of the distance of one pair.
+MARGIN = 4.0
+#: Queries in a block, and records of a part, at most on average.
+BLOCK, PART = 16_384, 65_536
 
 
-def nearest(queries: DataFrame, records: DataFrame, k: int = 10, dim: int = 64, bits: int = 512, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, records: DataFrame, k: int = 10, dim: int = 64, bits: int = 256) -> DataFrame:
     """``(query_id, id, cosine, rank)``: the ``k`` records most similar to each query, in blocks.
 
-    Both inputs are ``(id long, v array<float>)`` with usable vectors. A block of queries meets every
-    part of the records once: the part's codes are ranked by Hamming distance, the best
-    ``RERANK * k`` are reranked by cosine, and only ``k`` rows a query and part leave the task.
-    The queries are a stated set; they are spread over blocks of ``block`` rows, not broadcast whole.
-    A record is not its own neighbour. Ties go to the smaller id.
+    Both inputs are ``(id long, v array<float>)`` with usable vectors; the queries are a stated set. A block
+    of queries meets every part of the records. There each query's Hamming radius grows until ``k`` codes lie
+    within it, and by ``MARGIN`` more; all codes inside are reranked by cosine, however many there are. Neighbours
+    beyond the close ones share no selective substring, so codes are compared whole here. Only ``k`` rows a
+    query and part leave the task. A record is not its own neighbour. Ties go to the smaller id.
     """
-    rotation = _learn(records, bits, dim)
-    spark = queries.sparkSession
-    n = max(1, -(-queries.count() // block))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(True).alias("query"), "id", "v")
-    r = records.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.lit(False).alias("query"), "id", "v")
+    n = records.count()
+    rotation = _learn(records, bits, dim, n)
+    blocks, parts = max(1, -(-queries.count() // BLOCK)), max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART))
+    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(True).alias("query"), "id", "v")
+    r = records.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.lit(False).alias("query"), "id", "v")
+    margin = int(MARGIN * np.sqrt(bits * 0.25))
 
     def search(key: tuple, cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
         is_query = cell.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids, x = cell.column("id").to_numpy(), _rows(cell.column("v").chunk(0), dim)
+        order = np.argsort(ids, kind="stable")
+        ids, x, is_query = ids[order], x[order], is_query[order]
         qi, ri, qx, rx = ids[is_query], ids[~is_query], x[is_query], x[~is_query]
-        out: list[tuple] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(qi) and len(ri):
-            codes = (rx @ rotation > 0).astype(np.float32) * 2 - 1
-            take = min(len(ri), RERANK * k)
-            for s in range(0, len(qi), 64):
-                hamming = np.sign(qx[s : s + 64] @ rotation) @ codes.T
-                near = np.argpartition(-hamming, take - 1, axis=1)[:, :take]
-                cos = np.einsum("qd,qcd->qc", qx[s : s + 64].astype(np.float64), rx[near].astype(np.float64))
-                cos[ri[near] == qi[s : s + 64, None]] = -np.inf
-                order = np.lexsort((ri[near], -cos), axis=1)[:, : min(k, take)]
-                out.append((np.repeat(qi[s : s + 64], order.shape[1]), np.take_along_axis(ri[near], order, 1).ravel(), np.take_along_axis(cos, order, 1).ravel()))
-        if not out:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        keep = np.isfinite(c)
-        return pa.table({"query_id": a[keep], "id": b[keep], "cosine": c[keep]})
+            qc, rc = (longs(v @ rotation > 0).view(np.uint64) for v in (qx, rx))
+            take = min(len(ri), k + 1) - 1
+            for i in range(len(qi)):
+                apart = np.bitwise_count(rc ^ qc[i]).sum(axis=1, dtype=np.int16)
+                near = np.flatnonzero(apart <= np.partition(apart, take)[take] + margin)
+                cos = np.round(rx[near].astype(np.float64) @ qx[i].astype(np.float64), 12)
+                near, cos = near[ri[near] != qi[i]], cos[ri[near] != qi[i]]
+                best = np.argsort(-cos, kind="stable")[:k]
+                found.append((np.full(len(best), qi[i]), ri[near[best]], cos[best]))
+        a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pa.table({"query_id": a, "id": b, "cosine": c})
 
     found = q.unionByName(r).groupBy("q", "p").applyInArrow(search, "query_id long, id long, cosine double")
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")

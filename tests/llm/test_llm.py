@@ -224,12 +224,14 @@ def test_languages_and_held_out_segments(spark):
         (6, 1, "n/a", "the report of the night run", None),
         (7, 1, '{"k":"a1","v":22}\n0x12ab 0x99 33|44|55 a/b:3 c/d:9 e_f g_h 1 2', "the report of the night run", None),
         (8, 1, None, None, None),
+        (9, 1, "the report is written before night. " * 20, "the report of the night run", None),
+        (10, 1, SAMPLES["fr"].replace(".", " ") * 30, "", "en"),
         (2, 0, SAMPLES["ru"], "x", "ru"),
         (None, 1, SAMPLES["ru"], "x", None),
     ]
     df = spark.createDataFrame(data, "id long, at int, t string, topic string, label string")
     got = rows(languages.wrong_or_missing(df, "id", "t", "topic", "label", model, "at"), "id", "field_name", "lang")
-    assert got == [(2, "lesson_text", "fr"), (3, "lesson_text", "de"), (3, "lesson_text", "en"), (4, "topic", "de"), (5, "lesson_text", "nl")]
+    assert got == [(2, "lesson_text", "fr"), (3, "lesson_text", "de"), (3, "lesson_text", "en"), (4, "topic", "de"), (5, "lesson_text", "nl"), (10, "lesson_text", "fr")]
     found = languages.segment_languages(df.filter("id = 3").select("id", "t"), "t", model)
     parts = found.select(languages.document_languages(F.col("found")).alias("d")).first().d
     assert {p.lang for p in parts} == {"en", "de"} and all(0 < p.confidence <= 1 for p in parts)

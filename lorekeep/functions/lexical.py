@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.skew import lookup_join
+from lorekeep.session import cut
 
 TOKEN = r"[\p{L}\p{N}_]+"
 # The weights of topic (A) and body (B) terms, and BM25's parameters.
@@ -59,13 +60,29 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     are joined apart when it holds a large share of all postings.
     """
     wanted = queries.select(F.col(query_key).alias("query_id"), F.explode(bm25_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = term_documents(docs, key, bm25_tokens(F.col(text)), wanted)
+    terms = cut(term_documents(docs, key, bm25_tokens(F.col(text)), wanted))
     size = docs.select(F.size(bm25_tokens(F.col(text))).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("mean")).first()
     n, mean = size.n or 0, size.mean or 1.0
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(terms.groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = lookup_join(terms, df, ["term"], "df", max(1, n)).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)))
-    return part.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    part = lookup_join(terms, df, ["term"], "df", _postings(df)).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)))
+    return spread_join(part, wanted, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+
+
+#: Tasks that a term's postings are dealt to when they meet the queries that hold the term.
+SPREAD = 16
+
+
+def _postings(df: DataFrame) -> int:
+    """The sum of all document frequencies."""
+    return max(1, df.agg(F.sum("df")).first()[0] or 0)
+
+
+def spread_join(postings: DataFrame, asked: DataFrame, term: str) -> DataFrame:
+    """Joins postings ``(id, term, ...)`` with the queries' terms; the queries' side, which is small, is repeated so that a frequent term spreads."""
+    a = postings.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+    b = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return a.join(b, [term, "_s"]).drop("_s")
 
 
 def parse_query(text: str) -> dict:
@@ -154,15 +171,15 @@ def cover_density(docs: DataFrame, key: str, topic: str, body: str, query: str,
 
 def tfidf_cosine(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
     """``(query_id, id, score)``: cosine of the TF-IDF vectors (tf * ln(n / df)) of queries and documents that share a term."""
-    d = term_documents(docs, key, bm25_tokens(F.col(text))).select("id", "term", "tf")
+    d = cut(term_documents(docs, key, bm25_tokens(F.col(text))).select("id", "term", "tf"))
     q = term_documents(queries.select(F.col(query_key).alias("_q"), F.col(query_text).alias("_t")), "_q", bm25_tokens(F.col("_t"))).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
     n = docs.count()
-    df = d.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) / F.col("df")))
-    weighted = lookup_join(d, df, ["term"], "df", max(1, n)).withColumn("w", F.col("tf") * F.col("idf"))
+    df = cut(d.groupBy("term").agg(F.count("*").alias("df"))).withColumn("idf", F.log(F.lit(n) / F.col("df")))
+    weighted = lookup_join(d, df, ["term"], "df", _postings(df)).withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     asked = q.join(df.select("term", "idf"), "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     qn = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = weighted.join(asked.select("query_id", "term", "qw"), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    dots = spread_join(weighted, asked.select("query_id", "term", "qw"), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return dots.join(norms, "id").join(qn, "query_id").select("query_id", "id", F.coalesce(F.try_divide("dot", F.col("dn") * F.col("qn")), F.lit(0.0)).alias("score"))
 
 

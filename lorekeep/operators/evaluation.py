@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lorekeep.operators.skew import running_sum
+
 Z = 1.959963984540054
 
 
@@ -99,6 +101,37 @@ def welch(values: DataFrame, arm: str, column: str, left: str, right: str) -> Da
     return s.select(t.alias("t"), df.alias("df"))
 
 
+def bonferroni(p: Column, tests: Column | int) -> Column:
+    """A p value adjusted for so many tests."""
+    return F.least(F.lit(1.0), p * (tests if isinstance(tests, Column) else F.lit(tests)))
+
+
+def paired_t(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``(n, mean, t)`` of the differences ``a - b``; ``t`` is null where they don't vary. Pairs with a null don't count."""
+    d = F.col(a).cast("double") - F.col(b).cast("double")
+    s = pairs.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("_s"))
+    return s.select("n", "mean", F.try_divide("mean", F.col("_s") / F.sqrt("n")).alias("t"))
+
+
+def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``(statistic, df)`` of the independence of two columns of few values, from one pass of counts."""
+    counts = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
+    x, y = counts.groupBy("a").agg(F.sum("o").alias("na")), counts.groupBy("b").agg(F.sum("o").alias("nb"))
+    cells = x.crossJoin(y).join(counts, ["a", "b"], "left").crossJoin(counts.agg(F.sum("o").alias("n")))  # one row for each pair of values
+    e = F.col("na") * F.col("nb") / F.col("n")
+    d = F.coalesce("o", F.lit(0)) - e
+    return cells.agg(F.sum(d * d / e).alias("statistic"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("df"))
+
+
+def cliffs_delta(values: DataFrame, arm: str, column: str, left: str, right: str) -> DataFrame:
+    """``(delta)``: how much more often values of the left arm exceed the right's than the reverse, by average ranks of equal values."""
+    c = F.col(column).cast("double")
+    counts = values.filter(F.col(arm).isin(left, right) & c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"), F.sum((F.col(arm) == left).cast("long")).alias("n1"))
+    ranked = running_sum(counts.withColumn("_all", F.lit(0)), ["_all"], "v", "n", "before", descending=False)
+    s = ranked.agg(F.sum(F.col("n1") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r1"), F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"))
+    return s.select((2 * F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n2")) - 1).alias("delta"))
+
+
 def percentile_rank(values: DataFrame, column: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles of a column."""
     return values.agg(*[F.expr(f"percentile_disc({q}) within group (order by {column})").alias(f"p{round(100 * q)}") for q in qs])

@@ -25,16 +25,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def _walk(starts: DataFrame, edges: DataFrame, depth: int, per_node: int | None = None) -> DataFrame:
     """All simple paths from ``starts(start, node)`` over ``edges(source_id, target_id, weight)``, up to ``depth`` hops.
 
-    Weights are multiplied in single precision. With ``per_node`` only a node's heaviest edges are followed.
+    Weights are multiplied in single precision. With ``per_node`` only the heaviest edges of a path's last
+    node are followed, of those to nodes that the path has not seen.
     """
     if per_node is not None:
+        # A path has seen at most ``depth`` nodes, each with a few parallel edges, so no edge beyond these can be among its first.
         best = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("weight"), "target_id")
-        edges = edges.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= per_node).drop("_r")
-    hop = edges.select(F.col("source_id").alias("node"), "target_id", F.coalesce("weight", F.lit(1.0)).cast("float").alias("w"))
+        same = F.count("*").over(Window.partitionBy("source_id", "target_id"))
+        edges = edges.withColumn("_n", same).withColumns({"_n": F.max("_n").over(Window.partitionBy("source_id")), "_r": F.row_number().over(best)})
+        edges = edges.filter(F.col("_r") <= per_node + depth * F.col("_n")).drop("_r", "_n")
+    hop = edges.select(F.col("source_id").alias("node"), "target_id", F.coalesce("weight", F.lit(1.0)).cast("float").alias("w"), "weight")
     level = starts.withColumns({"depth": F.lit(0), "path": F.array("node"), "path_weight": F.lit(1.0).cast("float")})
     out = level
     for _ in range(depth):
         nxt = level.join(hop, "node").filter(~F.array_contains("path", F.col("target_id")))
+        if per_node is not None:
+            first = Window.partitionBy("start", "path").orderBy(F.desc_nulls_last("weight"), "target_id")
+            nxt = nxt.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_node)
         level = nxt.select("start", F.col("target_id").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("target_id")).alias("path"), (F.col("path_weight") * F.col("w")).cast("float").alias("path_weight"))
         out = out.unionByName(level)
     return out

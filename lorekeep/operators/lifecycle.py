@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.config import RecallConfig
+from lorekeep.config import OPEN, RecallConfig
 from lorekeep.functions import text
-from lorekeep.operators import vectors
+from lorekeep.operators import skew, vectors
 from lorekeep.session import cut
 
 CLUSTERED_TYPES = text.CONTENT_TYPES
@@ -16,9 +16,22 @@ CLUSTERED_TYPES = text.CONTENT_TYPES
 SUCCESS_DELTA, FAIL_DELTA = 0.02, 0.12
 
 
-def similar_pairs(lessons: DataFrame, similarity: float, dim: int) -> DataFrame:
-    """``(a, b, sim)``: pairs of one role at least so similar, among all active lessons, compared in blocks."""
-    rows = lessons.filter(F.col("is_active") & vectors.usable("embedding", dim) & F.col("role").isNotNull())
+#: States that consolidation and staleness pass over.
+MERGED_STATES, RETIRED_STATES = ("superseded", "archived", "rejected"), ("deprecated", "archived", "rejected")
+#: Lessons that consolidation compares for each cluster it may report.
+CANDIDATES = 20
+
+
+def candidates(lessons: DataFrame, dim: int, limit: int | None) -> DataFrame:
+    """Active lessons that may be merged: the first ``limit`` by recall count, confidence, importance and age, all with None."""
+    rows = lessons.filter(F.col("is_active") & ~F.col("state").isin(*MERGED_STATES) & F.col("embedding").isNotNull())
+    if limit is not None:
+        rows = rows.orderBy(F.desc_nulls_first("recall_count"), F.desc_nulls_first("confidence"), F.desc_nulls_first("importance"), F.asc_nulls_last("created_at"), "id").limit(limit)
+    return rows.filter(vectors.usable("embedding", dim) & F.col("role").isNotNull())
+
+
+def similar_pairs(rows: DataFrame, similarity: float, dim: int) -> DataFrame:
+    """``(a, b, sim)``: pairs of one role at least so similar, compared in blocks."""
     given = rows.select("id", F.xxhash64("role").alias("g"), F.col("embedding").alias("v"))
     found = vectors.block_above(given, given, float(np.nextafter(similarity, -1)), dim).filter("query_id < id")
     # Roles are compared by hash in the blocks, and by name here.
@@ -41,13 +54,15 @@ def clusters(pairs: DataFrame) -> DataFrame:
         labels = new.select("id", "root")
 
 
-def consolidate(lessons: DataFrame, similarity: float = 0.92, limit: int = 100, dim: int = 64) -> DataFrame:
+def consolidate(lessons: DataFrame, similarity: float = 0.92, limit: int = 100, dim: int = 64, every: bool = False) -> DataFrame:
     """``(canonical_id, member_ids, size, mean_sim)`` of the largest clusters of similar lessons of one role.
 
+    The feature compares the first ``CANDIDATES * limit`` lessons only; with ``every`` all are compared, and
+    the limit holds for the reported clusters alone.
     The canonical lesson is first by recall count, confidence and importance, then the oldest, then the least id;
     ``member_ids`` lists the others in that order.
     """
-    pairs = cut(similar_pairs(lessons, similarity, dim))
+    pairs = cut(similar_pairs(cut(candidates(lessons, dim, None if every else CANDIDATES * limit)), similarity, dim))
     roots = clusters(pairs)
     members = roots.join(lessons, "id")
     order = F.struct(
@@ -108,13 +123,27 @@ def reinforce_additive(outcomes: DataFrame, start: float = 0.5) -> DataFrame:
 
 
 def stale(lessons: DataFrame, config: RecallConfig, days: int = 45, keep_confidence: float = 0.6, keep_provenance: bool = True) -> DataFrame:
-    """``(id, idle_days, would_deprecate)`` of active lessons not recalled for so long; flagged unless confident or provenanced."""
+    """``(id, idle_days, would_deprecate, position)`` of active lessons not recalled for so long, never recalled ones first.
+
+    Flagged are those less confident than ``keep_confidence``, of an importance under 5 and (with
+    ``keep_provenance``) without provenance; unknown values keep a lesson. Retired states are passed over.
+    """
     last = F.coalesce("last_recalled_at", "created_at")
     idle = (F.unix_micros(F.lit(config.now)) - F.unix_micros(last)) / 86_400_000_000
-    keep = F.coalesce(F.col("confidence") >= F.lit(keep_confidence).cast("float"), F.lit(False))
+    gone = F.coalesce((F.col("confidence") < F.lit(keep_confidence).cast("float")) & (F.col("importance") < 5), F.lit(False))
     if keep_provenance:
-        keep = keep | F.col("commit_sha").isNotNull() | F.col("artifact_hash").isNotNull()
-    return lessons.filter("is_active").select("id", idle.alias("idle_days"), (~keep).alias("would_deprecate")).filter(F.col("idle_days") > days)
+        gone = gone & F.col("commit_sha").isNull() & F.col("artifact_hash").isNull()
+    rows = lessons.filter(F.col("is_active") & ~F.col("state").isin(*RETIRED_STATES))
+    rows = rows.select("id", idle.alias("idle_days"), gone.alias("would_deprecate"), "last_recalled_at", "created_at").filter(F.col("idle_days") > days)
+    order = F.struct(F.col("last_recalled_at").isNotNull().alias("a"), F.coalesce(F.unix_micros("last_recalled_at"), F.lit(0)).alias("b"), F.coalesce(F.unix_micros("created_at"), F.lit(0)).alias("c"), "id")
+    ranked = skew.running_sum(rows.withColumns({"_all": F.lit(0), "_one": F.lit(1), "_o": order}), ["_all"], "_o", "_one", "before", descending=False)
+    return ranked.select("id", "idle_days", "would_deprecate", (F.col("before") + 1).alias("position"))
+
+
+def mark_stale(lessons: DataFrame, config: RecallConfig, cap: int = 50, **rules) -> DataFrame:
+    """``(id, state)`` of the lessons to deprecate, or no row when more than ``cap`` would be: nothing is done halfway."""
+    gone = stale(lessons, config, **rules).filter("would_deprecate").select("id", F.lit("deprecated").alias("state"))
+    return gone if gone.limit(cap + 1).count() <= cap else gone.limit(0)
 
 
 def reclassified(lessons: DataFrame) -> DataFrame:
@@ -128,12 +157,65 @@ def reclassified(lessons: DataFrame) -> DataFrame:
     return lessons.select(sides.alias("s")).groupBy(F.coalesce("s.content_type", F.lit("none")).alias("content_type")).agg(F.sum("s.b").alias("before"), F.sum("s.a").alias("after"))
 
 
+def quantiles(rows: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantiles of ``value`` under the names of ``at``; nulls don't count, no values give nulls.
+
+    Equal values are counted first and the counts summed over range partitions, so no task holds all values.
+    """
+    counts = cut(rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    ranked = skew.running_sum(counts.withColumn("_all", F.lit(0)), ["_all"], "v", "n", "before", descending=False)
+
+    def pick(place: int) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("n") > place), F.col("v")))
+
+    out = {}
+    for name, q in at.items():
+        place = q * (max(1, total) - 1)
+        low, high = int(np.floor(place)), int(np.ceil(place))
+        out[name] = pick(low) + (pick(high) - pick(low)) * (place - low)
+    return ranked.agg(*[c.alias(name) for name, c in out.items()])
+
+
+def stats(lessons: DataFrame, edges: DataFrame, config: RecallConfig, version: str, hybrid: bool = True) -> DataFrame:
+    """One row: the store's counts, coverages, age and confidence, and the settings of retrieval in force.
+
+    Catalogue checks of a database have no meaning here: ``orphan_count`` is 0 and ``recall_hybrid_available`` true.
+    """
+    config = config.clamped()
+    live = F.col("t_valid_to") == F.lit(OPEN)
+    share = lambda c: F.coalesce(F.round(100.0 * F.avg(c.cast("int")), 2), F.lit(0.0))
+    days = F.coalesce((F.unix_micros(F.lit(config.now)) - F.unix_micros(F.min("created_at"))) / 86_400_000_000, F.lit(0.0))
+    counted = lessons.agg(
+        F.count("*").alias("lesson_count"),
+        F.count("embedding").alias("embedded_count"),
+        share(F.col("embedding").isNotNull()).alias("embedding_coverage_pct"),
+        share(F.coalesce("topic", "lesson_text").isNotNull()).alias("tsv_coverage_pct"),
+        F.rint(days).cast("int").alias("oldest_lesson_age_days"),
+        F.coalesce(F.sum((live & F.col("verified_at").isNull()).cast("long")), F.lit(0)).alias("ghost_count"),
+        F.coalesce(F.avg(F.when(live, F.col("confidence").cast("double"))), F.lit(0.5)).alias("confidence_mean"),
+        F.coalesce(F.sum((live & (F.col("confidence") < 0.3)).cast("int")), F.lit(0)).cast("int").alias("confidence_below_threshold_count"),
+    )
+    spread = quantiles(lessons.filter(live), "confidence", {"confidence_p10": 0.1, "confidence_p50": 0.5, "confidence_p90": 0.9})
+    spread = spread.select(*[F.coalesce(c, F.lit(0.5)).alias(c) for c in spread.columns])
+    fixed = {
+        "version": version, "recency_weight": config.recency_weight, "ef_search": config.ef_search, "importance_weight": 0.15, "hybrid_enabled": hybrid,
+        "recall_hybrid_available": True, "orphan_count": 0, "graph_expand_weight": config.expand_weight, "graph_expand_depth": config.expand_depth,
+        "graph_expand_ann_k": config.expand_anchors, "graph_expand_per_node": config.expand_per_node, "graph_entity_expand_weight": config.entity_weight,
+        "graph_entity_min_overlap": config.entity_min_overlap, "graph_entity_max_expansion": config.entity_max_expansion,
+    }
+    # Three frames of one row each.
+    joined = counted.crossJoin(edges.agg(F.count("*").alias("mem_edge_count"))).crossJoin(spread)
+    return joined.withColumns({name: F.lit(v) for name, v in fixed.items()})
+
+
 def corpus_stats(lessons: DataFrame, dim: int) -> DataFrame:
-    """One row of corpus statistics, in one aggregate: counts, coverages, confidence quantiles and age."""
+    """One row of corpus statistics: counts, coverages, confidence quantiles and age."""
     share = lambda c: F.round(100.0 * F.avg(c.cast("int")), 2)
     sure = F.col("confidence").between(0, 1)
     conf = F.when(sure, F.col("confidence").cast("double"))
-    return lessons.agg(
+    spread = quantiles(lessons.select(conf.alias("c")), "c", {"confidence_p10": 0.1, "confidence_p50": 0.5, "confidence_p90": 0.9})
+    counted = lessons.agg(
         F.count("*").alias("total"),
         F.sum(F.col("is_active").cast("int")).alias("active"),
         F.countDistinct("role").alias("roles"),
@@ -142,11 +224,9 @@ def corpus_stats(lessons: DataFrame, dim: int) -> DataFrame:
         share(F.col("verified_at").isNotNull()).alias("verified_pct"),
         share(F.col("commit_sha").isNotNull()).alias("provenance_pct"),
         F.avg(conf).alias("mean_confidence"),
-        F.percentile(conf, F.lit(0.1)).alias("confidence_p10"),
-        F.percentile(conf, F.lit(0.5)).alias("confidence_p50"),
-        F.percentile(conf, F.lit(0.9)).alias("confidence_p90"),
         F.unix_micros(F.min("created_at")).alias("oldest_us"),
     )
+    return counted.crossJoin(spread)  # one row each
 
 
 def embedding_policy(lessons: DataFrame, dim: int, exempt: tuple[str, ...] = ("entity", "fact", "relation", "temporal")) -> DataFrame:

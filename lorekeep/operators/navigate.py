@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.config import RecallConfig
-from lorekeep.operators import graph, retrieval
+from lorekeep.config import OPEN, RecallConfig
+from lorekeep.operators import graph, retrieval, skew
 from lorekeep.operators.visibility import json_contains, visible
+from lorekeep.session import cut
 
 # Weights of the navigation score's auxiliary signals, and preview lengths.
 NAVIGATE_AUX = {"importance": 0.05, "recency": 0.05, "provenance": 0.05}
-PREVIEW, NEIGHBOUR_PREVIEW, RELATION_TEXT, NEIGHBOURS = 120, 50, 200, 20
+PREVIEW, NEIGHBOUR_PREVIEW, RELATION_TEXT = 120, 50, 200
 #: More than there are lessons.
 ALL = 1 << 40
 
@@ -21,8 +22,10 @@ def within_budget(ranked: DataFrame, budget: int, straddle: bool = False) -> Dat
 
     Inclusive by default; with ``straddle`` the row that crosses the budget is kept, and its sum is cut to the budget.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
-    summed = ranked.withColumn("running_chars", F.sum("chars").over(order))
+    order = F.struct(F.col("score").isNull().alias("a"), (-F.col("score").cast("double")).alias("b"), "id")
+    rows = ranked.withColumns({"_order": order, "_chars": F.coalesce("chars", F.lit(0)).cast("long")})
+    summed = skew.running_sum(rows, ["query_id"], "_order", "_chars", "running_chars", descending=False)
+    summed = summed.withColumn("running_chars", F.col("running_chars") + F.col("_chars")).drop("_order", "_chars")
     if not straddle:
         return summed.filter(F.col("running_chars") <= budget)
     kept = summed.filter(F.col("running_chars") - F.col("chars") < budget)
@@ -66,25 +69,33 @@ def locate_related(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def expand(lessons: DataFrame, edges: DataFrame, seeds: DataFrame, threshold: float = 0.5, relations: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
-    """``(id, lesson_text, detail, neighbour_ids, n_neighbours, running_chars)`` of seed lessons ``(id, position)``.
+def expand(lessons: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, threshold: float = 0.5, relations: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """``(id, content, detail, neighbour_ids, neighbour_previews, running_chars, path)``: the seeds ``(id)`` and what lies around them.
 
-    ``detail`` is the JSON of the requested metadata fields. Neighbours come over open edges of at
-    least the threshold in either direction, once each at its greatest weight, heaviest first.
+    Active, currently valid lessons only. Walks go up to ``depth`` hops in either direction over open edges of
+    at least the threshold and of the given relations. A seed lists the lessons reached from it that are no
+    seeds, by depth and id, with the starts of their texts; each reached lesson also has a row of its own, with
+    path ``graph_expand`` instead of ``content``. ``detail`` is the JSON of the requested metadata fields, null
+    without any. ``running_chars`` sums the texts by id.
     """
+    live = lessons.filter(F.col("is_active") & (F.col("t_valid_to") == F.lit(OPEN)))
     use = graph.active(edges).filter(F.col("weight") >= F.lit(threshold).cast("float"))
     if relations is not None:
         use = use.filter(F.upper("relation_type").isin(*[r.upper() for r in relations]))
-    hop = graph.both_ways(use.select("source_id", "target_id", "weight")).groupBy("source_id", "target_id").agg(F.max("weight").alias("w"))
-    known = hop.join(lessons.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    order = Window.partitionBy("source_id").orderBy(F.desc("w"), "target_id")
-    top = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= NEIGHBOURS)
-    lists = top.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "target_id"))), lambda s: s["target_id"].cast("string")), ",").alias("neighbour_ids"), F.count("*").alias("n_neighbours"))
-    wanted = F.from_json("metadata", "map<string,string>")
-    detail = F.to_json(F.map_filter(wanted, lambda k, _: k.isin(*(fields or [""]))))
-    rows = seeds.join(lessons.select("id", "lesson_text", detail.alias("detail")), "id").join(lists, "id", "left")
-    running = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # seeds are a short, given list
-    return rows.withColumn("running_chars", F.sum(F.length("lesson_text")).over(running)).withColumns({"neighbour_ids": F.coalesce("neighbour_ids", F.lit("")), "n_neighbours": F.coalesce("n_neighbours", F.lit(0))})
+    hop = graph.both_ways(use.select("source_id", "target_id")).distinct().withColumn("weight", F.lit(1.0))
+    hop = hop.join(live.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    given = seeds.select("id").distinct().join(live.select("id"), "id", "left_semi")
+    walked = graph._walk(given.select(F.col("id").alias("start"), F.col("id").alias("node")), hop, depth).filter("depth > 0")
+    near = walked.groupBy("start", F.col("node").alias("id")).agg(F.min("depth").alias("depth")).join(seeds.select("id"), "id", "left_anti")
+    near = cut(near.join(live.select("id", F.substring("lesson_text", 1, NEIGHBOUR_PREVIEW).alias("preview")), "id"))
+    listed = near.groupBy(F.col("start").alias("id")).agg(F.array_sort(F.collect_list(F.struct("depth", "id", "preview"))).alias("_l"))
+    kept = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, _: k.isin(*(fields or [""])))
+    facts = live.select("id", F.col("lesson_text").alias("content"), F.when(F.size(kept) > 0, F.to_json(kept)).alias("detail"))
+    first = given.join(listed, "id", "left").select("id", F.transform("_l", lambda s: s["id"]).alias("neighbour_ids"), F.transform("_l", lambda s: s["preview"]).alias("neighbour_previews"), F.lit("content").alias("path"))
+    further = near.select("id").distinct().select("id", F.lit(None).cast("array<long>").alias("neighbour_ids"), F.lit(None).cast("array<string>").alias("neighbour_previews"), F.lit("graph_expand").alias("path"))
+    rows = first.unionByName(further).join(facts, "id").withColumns({"_all": F.lit(0), "_chars": F.coalesce(F.length("content"), F.lit(0)).cast("long")})
+    summed = skew.running_sum(rows, ["_all"], "id", "_chars", "before", descending=False)
+    return summed.select("id", "content", "detail", "neighbour_ids", "neighbour_previews", (F.col("before") + F.col("_chars")).alias("running_chars"), "path")
 
 
 def typed_projection(lessons: DataFrame) -> DataFrame:
@@ -95,8 +106,6 @@ def typed_projection(lessons: DataFrame) -> DataFrame:
     return lessons.select("id", content.alias("content"), detail.alias("detail"))
 
 
-
-
 def dispatch(queries: DataFrame, lessons: DataFrame, edges: DataFrame, config: RecallConfig, content_type: str | None = None, budget: int = 2000) -> DataFrame:
     """``(query_id, id, score, path)``: entity lookups by text rank, temporal ones by time, relations over the graph, others by the hybrid score."""
     seen = visible(lessons, config)

@@ -44,8 +44,8 @@ def recall_fast(queries: DataFrame, lessons: DataFrame, config: RecallConfig, k:
     return out if min_score is None else out.filter(match_confidence(F.col("vec_score")) >= F.lit(min_score).cast("float"))
 
 
-def text_pool(queries: DataFrame, lessons: DataFrame, size: int) -> DataFrame:
-    """``(query_id, id, bm25_score)``: lessons that hold all terms of a query, by cover density, the best ``size`` of each query.
+def text_pool(queries: DataFrame, lessons: DataFrame, size: int | None) -> DataFrame:
+    """``(query_id, id, bm25_score)``: lessons that hold all terms of a query, by cover density, the best ``size`` of each query (all with None).
 
     Only postings of the queries' own terms are joined. One-term queries have a closed form that stays
     in the JVM; longer ones count their minimal covers from the positions of the matches.
@@ -71,6 +71,8 @@ def text_pool(queries: DataFrame, lessons: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"query_id": b.query_id, "id": b.id, "bm25_score": [x / (x + 1) for x in r]})
 
     many = found.filter("need > 1").select("query_id", "id", "need", "places").mapInPandas(covers, "query_id long, id long, bm25_score double")
+    if size is None:
+        return one.unionByName(many)
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "id")
     return one.unionByName(many).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= size).drop("_r")
 
@@ -107,16 +109,22 @@ def pools(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, confi
         top = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), "id")
         anchors = vec.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= config.expand_anchors).select("query_id", "id")
         reached = graph.expand(edges, anchors, config.expand_depth, config.expand_per_node).join(out.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        reached = reached.join(seen.select("id"), "id", "left_semi")
-        out = out.unionByName(reached.select("query_id", "id", F.lit(0.0).alias("vec_score"), F.lit(0.0).alias("bm25_score"), "graph_score", none["key_overlap"].alias("key_overlap"), F.lit("graph").alias("retrieval_source")))
+        reached = _with_cosine(reached.join(seen.select("id"), "id", "left_semi"), asked, good)
+        out = out.unionByName(reached.select("query_id", "id", "vec_score", F.lit(0.0).alias("bm25_score"), "graph_score", none["key_overlap"].alias("key_overlap"), F.lit("graph").alias("retrieval_source")))
     if config.entity_weight > 0:
         keys = queries.filter("text is not null").select("query_id", F.explode(text.entity_keys(F.col("text"))).alias("key"))
         named = graph.entity_candidates(lessons, keys, config.entity_min_overlap, config.entity_max_expansion).join(out.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        named = named.join(seen.select("id"), "id", "left_semi")
-        out = out.unionByName(named.select("query_id", "id", F.lit(0.0).alias("vec_score"), F.lit(0.0).alias("bm25_score"), none["graph_score"].alias("graph_score"), "key_overlap", F.lit("entity").alias("retrieval_source")))
+        named = _with_cosine(named.join(seen.select("id"), "id", "left_semi"), asked, good)
+        out = out.unionByName(named.select("query_id", "id", "vec_score", F.lit(0.0).alias("bm25_score"), none["graph_score"].alias("graph_score"), "key_overlap", F.lit("entity").alias("retrieval_source")))
     return out
 
 
+def _with_cosine(pairs: DataFrame, asked: DataFrame, good: DataFrame) -> DataFrame:
+    """Adds ``vec_score``: the cosine of each pair ``(query_id, id)``, 0 where a vector is not usable. The pairs are few."""
+    joined = pairs.join(asked.select("query_id", F.col("v").alias("_q")), "query_id", "left").join(good.select("id", F.col("v").alias("_r")), "id", "left")
+    return joined.withColumn("vec_score", F.coalesce(F.round(vectors.cosine("_q", "_r"), 12), F.lit(0.0))).drop("_q", "_r")
+
+
 def recall_hybrid(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, k: int = 10, min_score: float | None = None, **filters) -> DataFrame:
     """``(query_id, id, score, vec_score, bm25_score, rrf_score, match_confidence, retrieval_source, rank)``: the hybrid ranking of each query."""
     config = config.clamped()
@@ -144,25 +152,46 @@ def recall_hybrid(queries: DataFrame, lessons: DataFrame, edges: DataFrame | Non
     return ranked.select("query_id", "id", "score", "vec_score", "bm25_score", "rrf_score", "match_confidence", "retrieval_source", "rank")
 
 
-def recall_vectors(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, k: int = 10, **filters) -> DataFrame:
-    """``(query_id, id, score, vec_score, rank)``: the vector path, ``(cosine + weighted recency) * (1 + proximity)``, without a test of validity."""
+#: Weight of the text score on the vector path.
+TEXT_WEIGHT = 0.1
+
+
+def recall_vectors(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, k: int = 10, min_score: float | None = None, **filters) -> DataFrame:
+    """``(query_id, id, score, vec_score, rank)``: the vector path, ``(cosine + weighted recency) * (1 + proximity) + 0.1 * text score``, without a test of validity.
+
+    Every visible lesson is scored. Most have no text hit and are near no anchor, so their order is that of
+    cosine plus recency, which the blocks rank at once; the others are scored apart and compete with them.
+    A query with a text also ranks lessons without a usable vector, at cosine 0.
+    """
     config = config.clamped()
-    fast = recall_fast(queries, lessons, config, max(4 * k, config.ef_search), **filters)
-    rows = fast.drop("rank").join(lessons.select("id", "created_at"), "id").withColumn("score", F.col("vec_score") + config.recency_weight * config.temporal_boost * recency(F.col("created_at"), config))
+    seen = visible(lessons, config, validity=False, **filters)
+    gain = config.recency_weight * config.temporal_boost
+    facts = seen.select("id", F.when(vectors.usable("embedding", config.dim), F.col("embedding")).alias("v"), (gain * recency(F.col("created_at"), config)).alias("fresh"))
+    good, asked = facts.filter("v is not null and fresh is not null"), queries.filter(vectors.usable("v", config.dim)).select("query_id", "v")
+    first = vectors.block_topk(asked, good, k, config.dim, "fresh", min_score).drop("rank")
+    special = text_pool(queries, seen, None).withColumnRenamed("bm25_score", "r")
+    special = special.select("query_id", "id", (F.col("r") / (1 - F.col("r"))).alias("ft"), F.lit(0.0).alias("proximity"))
     if config.graph_weight > 0 and edges is not None:
-        first = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), "id")
-        anchors = fast.withColumn("_r", F.row_number().over(first)).filter("_r <= 5").select("query_id", "id")
-        near = graph.proximity(edges, anchors, None, bidirectional=True)
-        rows = rows.join(near, ["query_id", "id"], "left").withColumn("score", F.col("score") * (1 + config.graph_weight * F.coalesce("proximity", F.lit(0.0))))
+        anchors = vectors.block_topk(asked, facts.filter("v is not null").select("id", "v"), 5, config.dim).select("query_id", "id")
+        near = graph.proximity(edges, anchors, ["causal", "temporal"]).join(seen.select("id"), "id", "left_semi")
+        special = special.unionByName(near.select("query_id", "id", F.lit(0.0).alias("ft"), "proximity"))
+    special = special.groupBy("query_id", "id").agg(F.max("ft").alias("ft"), F.max("proximity").alias("proximity"))
+    special = _with_cosine(special, asked, facts.filter("v is not null")).join(facts.select("id", "fresh"), "id")
+    score = (F.col("vec_score") + F.col("fresh")) * (1 + config.graph_weight * F.col("proximity")) + TEXT_WEIGHT * F.col("ft")
+    rows = special.withColumn("score", score).select("query_id", "id", "score", "vec_score")
+    if min_score is not None:
+        rows = rows.filter(match_confidence(F.col("vec_score")) >= F.lit(min_score).cast("float"))
+    rest = first.join(special.select("query_id", "id"), ["query_id", "id"], "left_anti").join(facts.select("id", "fresh"), "id")
+    rows = rows.unionByName(rest.select("query_id", "id", "score", (F.col("score") - F.col("fresh")).alias("vec_score")))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "vec_score", "rank")
 
 
-def recall_lessons(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, k: int = 10, hybrid: bool = True, **filters) -> DataFrame:
-    """The router: queries with vector and text take the hybrid path (unless switched off), the others the vector path."""
-    both = F.col("v").isNotNull() & F.col("text").isNotNull() if hybrid else F.lit(False)
-    a = recall_hybrid(queries.filter(both), lessons, edges, config, k, **filters).select("query_id", "id", "score", "vec_score", "rank")
-    return a.unionByName(recall_vectors(queries.filter(~both), lessons, edges, config, k, **filters))
+def recall_lessons(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, config: RecallConfig, k: int = 10, hybrid: bool = True, min_score: float | None = None, **filters) -> DataFrame:
+    """The router: queries with vector and text, or with a text alone, take the hybrid path (unless switched off), the others the vector path."""
+    texted = F.col("text").isNotNull() if hybrid else F.lit(False)
+    a = recall_hybrid(queries.filter(texted), lessons, edges, config, k, min_score, **filters).select("query_id", "id", "score", "vec_score", "rank")
+    return a.unionByName(recall_vectors(queries.filter(~texted), lessons, edges, config, k, min_score, **filters))
 
 
 def recall_situation(lessons: DataFrame, situation: str, config: RecallConfig, k: int = 10, role: str | None = None, project: int | None = None) -> DataFrame:

@@ -27,18 +27,19 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     return cold.select(*rows.columns, *value).unionByName(warm)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """Adds the sum of ``value`` over the rows of the key that come strictly before, by ``order`` descending.
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, descending: bool = True) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the key that come strictly before, by ``order`` (descending by default).
 
     ``(keys, order)`` must be unique. The rows are range partitioned by key and order, so a hot key
     spreads over many tasks; offsets between the parts are summed over (key, part) totals, of which
     a key has at most as many as there are parts. The cut keeps the range bounds the same for both uses.
     """
+    by = F.col(order).desc() if descending else F.col(order).asc()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.repartitionByRange(n, *keys, F.col(order).desc()).withColumn("_part", F.spark_partition_id()))
+    parts = cut(df.repartitionByRange(n, *keys, by).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy(*keys, "_part").agg(F.sum(value).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     local = parts.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return local.join(offsets, [*keys, "_part"]).withColumn(out, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset")

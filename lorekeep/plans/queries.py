@@ -101,12 +101,26 @@ def vector_topk(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.recall_fast(_ask(lessons), lessons, CONFIG, 10).select("query_id", "id", F.round("vec_score", 9).alias("vec_score"), "rank")
 
 
-@query("vector_path", f"with {L}, {ASK}, s as (select query_id, id, {COS} as c, created_at from ask, l where is_active and verified_at is not null and {GOOD} and {GOOD.replace('embedding', 'v')}), p as (select * from s qualify row_number() over (partition by query_id order by c desc, id) <= 100), f as (select query_id, id, c + 0.05 * greatest(0.0, 1 - least(({NOW_US} - epoch_us(created_at)) / 1e6 / 7776000.0, 1.0)) as sc from p) select query_id, id, round(sc, 9) as score from f qualify row_number() over (partition by query_id order by sc desc nulls last, id) <= 10")
+VECTOR_PATH = f"""with {L}, {ASK}, base as (select * from l where is_active and verified_at is not null),
+f as (select query_id, id, case when {GOOD} and {GOOD.replace('embedding', 'v')} then {COS} else 0.0 end as c, {GOOD} as good,
+      0.05 * greatest(0.0, 1 - least(({NOW_US} - epoch_us(created_at)) / 1e6 / 7776000.0, 1.0)) as fresh,
+      (len(list_filter({TOK.format('topic')}, lambda t: t = text)) * 1.0 + len(list_filter({TOK.format('lesson_text')}, lambda t: t = text)) * 0.4) as ft, {GOOD.replace('embedding', 'v')} as asked from ask, base),
+p as (select query_id, id, c, c + fresh + 0.1 * coalesce(ft, 0.0) as sc from f where (good and asked and fresh is not null) or ft > 0)
+"""
+
+
+@query("vector_path", VECTOR_PATH + "select query_id, id, round(sc, 9) as score from p qualify row_number() over (partition by query_id order by round(sc, 11) desc nulls last, id) <= 10")
 def vector_path(spark: SparkSession, base: str) -> DataFrame:
-    lessons = _lessons(spark, base, "topic", "embedding", "is_active", "verified_at", "created_at")
+    lessons = _lessons(spark, base, "topic", "lesson_text", "embedding", "is_active", "verified_at", "created_at")
     return retrieval.recall_vectors(_ask(lessons), lessons, None, CONFIG, 10).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
+@query("vector_path_min_score", VECTOR_PATH + "select query_id, id, round(sc, 9) as score from p where least(1.0, greatest(0.0, c))::float >= 0.3::float qualify row_number() over (partition by query_id order by round(sc, 11) desc nulls last, id) <= 10")
+def vector_path_min_score(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _lessons(spark, base, "topic", "lesson_text", "embedding", "is_active", "verified_at", "created_at")
+    return retrieval.recall_vectors(_ask(lessons), lessons, None, CONFIG, 10, 0.3).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
 CENTROIDS = f"with {L}, p as (select role, i as pos, avg(embedding[i + 1]::double) as m from l, range(64) t(i) where {GOOD} group by role, i)"
 
 
@@ -206,8 +220,37 @@ def hybrid_min_score(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.recall_hybrid(_ask(lessons), lessons, None, CONFIG, 10, min_score=0.3).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("hybrid_expanded")
+EXPANDED = f"""h as (select distinct source_id, target_id, weight from mem_edge where valid_until is null and edge_kind = 'causal'),
+x0 as (select query_id, id from vp qualify row_number() over (partition by query_id order by s desc, id) <= 15),
+x1 as (select query_id, x0.id as a, target_id as id, coalesce(weight, 1)::float as w from x0 join h on source_id = x0.id and target_id <> x0.id
+       qualify row_number() over (partition by query_id, x0.id order by weight desc nulls last, target_id) <= 3),
+x2 as (select query_id, target_id as id, (w * coalesce(weight, 1)::float)::float as w from x1 join h on source_id = x1.id and target_id not in (x1.id, a)
+       qualify row_number() over (partition by query_id, a, x1.id, w order by weight desc nulls last, target_id) <= 3),
+xg as (select query_id, id, max(w) as g from (select query_id, id, w from x1 union all select query_id, id, w from x2) group by all),
+xp as (select query_id, xg.id, case when {GOOD} and {GOOD.replace('embedding', 'v')} then {COS} else 0.0 end as s, g from xg join seen on seen.id = xg.id join ask using (query_id) where (query_id, xg.id) not in (select (query_id, id) from pool0)),
+pool as (select query_id, id, s, b, 0.0::float as g from pool0 union all select query_id, id, s, 0.0, g from xp)"""
+
+
+@query("hybrid_expanded", f"with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS.replace('pool as (', 'pool0 as (', 1).replace('ranked as (', EXPANDED + ', ranked as (', 1)}, {FINAL} select query_id, id, round(score + 0.2 * g::double, 9) as score, round(s, 9) as vec_score, case when g > 0 then 'graph' else 'ann' end as retrieval_source from scored qualify row_number() over (partition by query_id order by score + 0.2 * g::double desc nulls last, id) <= 10")
 def hybrid_expanded(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _all(spark, base)
+    config = RecallConfig(expand_weight=0.2, expand_depth=2, expand_per_node=3)
+    found = retrieval.recall_hybrid(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), config, 10)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), F.round("vec_score", 9).alias("vec_score"), "retrieval_source")
+
+
+@query("recall_router")
+def recall_router(spark: SparkSession, base: str) -> DataFrame:
+    """A third of the searches each with both signals, a vector alone and a text alone."""
+    lessons = _all(spark, base)
+    kind = F.col("query_id") % 3
+    asked = _ask(lessons).withColumns({"v": F.when(kind < 2, F.col("v")), "text": F.when(kind != 1, F.col("text"))})
+    return retrieval.recall_lessons(asked, lessons, None, CONFIG, 10).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("entity_hybrid")
+def entity_hybrid(spark: SparkSession, base: str) -> DataFrame:
+    """Hybrid retrieval by whole texts, with graph and entity expansion and proximity."""
     lessons = _all(spark, base)
     config = RecallConfig(expand_weight=0.2, entity_weight=0.1, graph_weight=0.2)
     asked = _ask(lessons).join(lessons.select(F.col("id").alias("query_id"), F.col("lesson_text").alias("t")), "query_id").select("query_id", "v", F.col("t").alias("text"))
@@ -267,14 +310,16 @@ def graph_proximity(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "graph_expand",
     """with h as (select distinct source_id, target_id, weight from mem_edge where valid_until is null and edge_kind = 'causal'),
-c as (select * from h qualify row_number() over (partition by source_id order by weight desc nulls last, target_id) <= 10),
-r as (select source_id as query_id, target_id as id, max(coalesce(weight, 1)::float) as g from c where source_id % 50 = 0 and source_id <> target_id group by all)
-select query_id, id, round(g::double, 6) as graph_score from r""",
+a as (select distinct source_id as q from mem_edge where source_id % 50 = 0),
+one as (select q, target_id as id, coalesce(weight, 1)::float as w from a join h on source_id = q and target_id <> q qualify row_number() over (partition by q order by weight desc nulls last, target_id) <= 3),
+two as (select q, target_id as id, (w * coalesce(weight, 1)::float)::float as w from (select *, row_number() over () as p from one) o join h on source_id = o.id and target_id not in (q, o.id)
+        qualify row_number() over (partition by p order by weight desc nulls last, target_id) <= 3)
+select q as query_id, id, round(max(w)::double, 6) as graph_score from (select q, id, w from one union all select q, id, w from two) group by all""",
 )
 def graph_expand(spark: SparkSession, base: str) -> DataFrame:
     edges = table(spark, base, "mem_edge").distinct()
     anchors = edges.filter("source_id % 50 = 0").select(F.col("source_id").alias("query_id"), F.col("source_id").alias("id")).distinct()
-    return graph.expand(edges, anchors, 1, 10).select("query_id", "id", F.round(F.col("graph_score").cast("double"), 6).alias("graph_score"))
+    return graph.expand(edges, anchors, 2, 3).select("query_id", "id", F.round(F.col("graph_score").cast("double"), 6).alias("graph_score"))
 
 
 @query(
@@ -349,16 +394,21 @@ def navigate_locate(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "navigate_expand",
-    f"""with {L}, {EDGES}, u as (select source_id as a, target_id as b, weight from e where weight >= 0.5::float union all select target_id, source_id, weight from e where weight >= 0.5::float),
-h as (select a, b, max(weight) as w from u where b in (select id from l) group by all),
-t as (select *, row_number() over (partition by a order by w desc, b) as r from h qualify r <= 20),
-g as (select a as id, string_agg(b::varchar, ',' order by r) as neighbour_ids, count(*) as n_neighbours from t group by a)
-select l.id, coalesce(neighbour_ids, '') as neighbour_ids, coalesce(n_neighbours, 0) as n_neighbours from l left join g using (id) where l.id % 50 = 0""",
+    f"""with {L}, {EDGES}, live as (select * from l where is_active and epoch_us(t_valid_to) = 253370764800000000),
+u as (select source_id as a, target_id as b, weight from e union all select target_id, source_id, weight from e), h as (select distinct a, b from u where weight >= 0.5::float and b in (select id from live)),
+s as (select id from live where id % 50 = 0), one as (select s.id as start, b as id from s join h on a = s.id where b <> s.id),
+two as (select start, h.b as id from one join h on a = one.id where h.b not in (start, one.id)),
+n as (select start, x.id, min(d) as depth from (select start, id, 1 as d from one union all select start, id, 2 from two) x where x.id % 50 <> 0 group by all),
+g as (select start as id, string_agg(n.id::varchar, ',' order by depth, n.id) as neighbour_ids, string_agg(left(lesson_text, 50), '|' order by depth, n.id) as neighbour_previews from n join live on live.id = n.id group by start),
+r as (select id, 'content' as path from s union all select distinct id, 'graph_expand' from n)
+select r.id, path, case when json_extract(metadata, '$.lang') is not null then json_extract_string(metadata, '$.lang') end as lang, coalesce(neighbour_ids, '') as neighbour_ids, coalesce(neighbour_previews, '') as neighbour_previews,
+ sum(length(lesson_text)) over (order by r.id)::bigint as running_chars from r join live using (id) left join g on g.id = r.id and path = 'content'""",
 )
 def navigate_expand(spark: SparkSession, base: str) -> DataFrame:
-    lessons = _lessons(spark, base, "lesson_text", "metadata")
-    seeds = lessons.filter("id % 50 = 0").select("id", F.col("id").alias("position"))
-    return navigate.expand(lessons, table(spark, base, "mem_edge").distinct(), seeds, 0.5, fields=["lang"]).select("id", "neighbour_ids", "n_neighbours")
+    lessons = _lessons(spark, base, "lesson_text", "metadata", "is_active", "t_valid_to")
+    found = navigate.expand(lessons, table(spark, base, "mem_edge").distinct(), lessons.filter("id % 50 = 0").select("id"), 2, 0.5, fields=["lang"])
+    ids = F.array_join(F.transform("neighbour_ids", lambda i: i.cast("string")), ",")
+    return found.select("id", "path", F.get_json_object("detail", "$.lang").alias("lang"), F.coalesce(ids, F.lit("")).alias("neighbour_ids"), F.coalesce(F.array_join("neighbour_previews", "|"), F.lit("")).alias("neighbour_previews"), "running_chars")
 
 
 @query("typed_projection", f"with {L} select id, case content_type when 'entity' then topic when 'relation' then left(lesson_text, 200) else lesson_text end as content from l")
@@ -448,16 +498,35 @@ def confidence_posterior(spark: SparkSession, base: str) -> DataFrame:
     return _lessons(spark, base, "success_count", "fail_count").select("id", F.round(lifecycle.posterior(F.col("success_count"), F.col("fail_count")), 9).alias("confidence"))
 
 
-@query("stale_lessons", f"with {L}, s as (select id, ({NOW_US} - epoch_us(coalesce(last_recalled_at, created_at))) / 86400000000 as idle, confidence, commit_sha, artifact_hash from l where is_active) select id, round(idle, 6) as idle_days, not (coalesce(confidence >= 0.6::float, false) or commit_sha is not null or artifact_hash is not null) as would_deprecate from s where idle > 45")
+@query("stale_lessons", f"with {L}, s as (select *, ({NOW_US} - epoch_us(coalesce(last_recalled_at, created_at))) / 86400000000 as idle from l where is_active and state not in ('deprecated', 'archived', 'rejected')) select id, round(idle, 6) as idle_days, coalesce(confidence < 0.6::float and importance < 5, false) and commit_sha is null and artifact_hash is null as would_deprecate, row_number() over (order by last_recalled_at is not null, last_recalled_at, coalesce(epoch_us(created_at), 0), id) as position from s where idle > 45")
 def stale_lessons(spark: SparkSession, base: str) -> DataFrame:
-    rows = _lessons(spark, base, "is_active", "last_recalled_at", "created_at", "confidence", "commit_sha", "artifact_hash")
+    rows = _lessons(spark, base, "is_active", "state", "last_recalled_at", "created_at", "confidence", "importance", "commit_sha", "artifact_hash")
     return lifecycle.stale(rows, CONFIG).withColumn("idle_days", F.round("idle_days", 6))
 
 
-@query("consolidate_clusters")
+CONSOLIDATED = f"""with recursive {L}, c as (select * from l where is_active and state not in ('superseded', 'archived', 'rejected') and embedding is not null
+ order by recall_count desc nulls first, case when isnan(confidence) then 'infinity'::float else confidence end desc nulls first, importance desc nulls first, created_at nulls last, id limit 2000), u as (select * from c where {GOOD} and role is not null),
+p as (select a.id as a, b.id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) as sim from u a join u b on a.id < b.id and a.role = b.role where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.92),
+y as (select a, b from p union select b, a from p), r(a, b) as (select a, b from y union select r.a, y.b from r join y on y.a = r.b), g as (select a as id, least(a, min(b)) as root from r group by a),
+m as (select root, avg(sim) as mean_sim from p join g on g.id = a group by root),
+o as (select g.root, list(c.id order by coalesce(recall_count, 0) desc, coalesce(case when isnan(confidence) then 'infinity'::double else confidence end, 0) desc, coalesce(importance, 0) desc, created_at nulls last, c.id) as ids from g join c using (id) group by g.root)
+select ids[1] as canonical_id, list_aggregate(ids[2:], 'string_agg', ',') as member_ids, len(ids)::integer as size, round(mean_sim, 9) as mean_sim from o join m using (root) order by size desc, round(mean_sim, 9) desc, canonical_id limit 100"""
+
+
+def _consolidated(spark: SparkSession, base: str, every: bool) -> DataFrame:
+    lessons = _lessons(spark, base, "is_active", "state", "embedding", "role", "recall_count", "confidence", "importance", "created_at")
+    return lifecycle.consolidate(lessons, 0.92, 100, every=every).withColumn("mean_sim", F.round("mean_sim", 9))
+
+
+@query("consolidate_clusters", CONSOLIDATED)
 def consolidate_clusters(spark: SparkSession, base: str) -> DataFrame:
-    lessons = _lessons(spark, base, "is_active", "embedding", "role", "recall_count", "confidence", "importance", "created_at")
-    return lifecycle.consolidate(lessons, 0.92, 100)
+    return _consolidated(spark, base, every=False)
+
+
+@query("consolidate_every")
+def consolidate_every(spark: SparkSession, base: str) -> DataFrame:
+    """All active lessons compared in blocks, not the first 2,000 only; the limit is that of the report."""
+    return _consolidated(spark, base, every=True)
 
 
 @query("reclassify_distribution", f"with {L}, k as (select coalesce(content_type, 'none') as b, coalesce(case when content_type is null or content_type in ('incident', 'decision', 'entity', 'fact', 'procedure') then {CLASSIFY_SQL} else content_type end, 'none') as a from l), u as (select b as content_type, 1 as x, 0 as y from k union all select a, 0, 1 from k) select content_type, sum(x)::bigint as before, sum(y)::bigint as after from u group by content_type")
@@ -479,6 +548,22 @@ def corpus_stats(spark: SparkSession, base: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("mean_confidence", "confidence_p10", "confidence_p50", "confidence_p90")})
 
 
+@query(
+    "store_stats",
+    f"""with {L}, v as (select * from l where epoch_us(t_valid_to) = 253370764800000000), t as (select count(*) as lesson_count, count(embedding) as embedded_count,
+ round(100.0 * avg((embedding is not null)::int), 2) as embedding_coverage_pct, round(100.0 * avg((coalesce(topic, lesson_text) is not null)::int), 2) as tsv_coverage_pct,
+ round_even(({NOW_US} - epoch_us(min(created_at))) / 86400000000, 0)::integer as oldest_lesson_age_days from l),
+w as (select count(*) filter (where verified_at is null) as ghost_count, round(avg(confidence::double), 6) as confidence_mean, round(quantile_cont(confidence::double, 0.1), 6) as confidence_p10,
+ round(quantile_cont(confidence::double, 0.5), 6) as confidence_p50, round(quantile_cont(confidence::double, 0.9), 6) as confidence_p90, (count(*) filter (where confidence < 0.3::float))::integer as confidence_below_threshold_count from v)
+select '1' as version, t.*, (select count(*) from mem_edge) as mem_edge_count, w.*, 0.05::double as recency_weight, 100 as ef_search, 0.15::double as importance_weight, true as hybrid_enabled, true as recall_hybrid_available, 0 as orphan_count,
+ 0.0::double as graph_expand_weight, 1 as graph_expand_depth, 15 as graph_expand_ann_k, 10 as graph_expand_per_node, 0.0::double as graph_entity_expand_weight, 1 as graph_entity_min_overlap, 50 as graph_entity_max_expansion from t, w""",
+)
+def store_stats(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _lessons(spark, base, "embedding", "topic", "lesson_text", "created_at", "verified_at", "t_valid_to", "confidence")
+    out = lifecycle.stats(lessons, table(spark, base, "mem_edge"), CONFIG, "1")
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence_mean", "confidence_p10", "confidence_p50", "confidence_p90")})
+
+
 @query("embedding_policy", f"with {L} select content_type, count(*) as embedded from l where content_type in ('entity', 'fact', 'relation', 'temporal') and embedding is not null group by content_type")
 def embedding_policy(spark: SparkSession, base: str) -> DataFrame:
     return lifecycle.embedding_policy(_lessons(spark, base, "content_type", "embedding"), 64)
@@ -557,6 +642,24 @@ def holm_adjusted(spark: SparkSession, base: str) -> DataFrame:
     return evaluation.holm(t.crossJoin(F.broadcast(rest)).withColumn("p", evaluation.normal_p(z)), "family", "role", "p").select("role", "p", "p_holm")
 
 
+@query("paired_t", f"with {L}, d as (select success_count - fail_count as d from l) select count(*) as n, round(avg(d), 9) as mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t from d")
+def paired_t(spark: SparkSession, base: str) -> DataFrame:
+    out = evaluation.paired_t(_lessons(spark, base, "success_count", "fail_count"), "success_count", "fail_count")
+    return out.select("n", F.round("mean", 9).alias("mean"), F.round("t", 6).alias("t"))
+
+
+@query("chi_square", f"with {L}, o as (select chr((('0x' || substr(sha256(id::varchar), 1, 8))::bigint % 3 + 65)::int) as a, coalesce(last_outcome, 'none') as b from l), c as (select a, b, count(*) as n from o group by all), x as (select a, sum(n) as na from c group by a), y as (select b, sum(n) as nb from c group by b), t as (select sum(n) as n from c), e as (select na * nb / t.n as e, coalesce(c.n, 0) as o from x cross join y cross join t left join c using (a, b)) select round(sum((o - e) * (o - e) / e), 6) as statistic, ((select count(*) from x) - 1) * ((select count(*) from y) - 1) as df from e")
+def chi_square(spark: SparkSession, base: str) -> DataFrame:
+    rows = _lessons(spark, base, "last_outcome").select(evaluation.arm(F.col("id")).alias("arm"), F.coalesce("last_outcome", F.lit("none")).alias("outcome"))
+    return evaluation.chi_square(rows, "arm", "outcome").withColumn("statistic", F.round("statistic", 6))
+
+
+@query("cliffs_delta", ARMS + ", a as (select role, x, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as r from s where role in ('agent_dispatch', 'backend_engineer')), c as (select sum(r) filter (role = 'agent_dispatch') as r1, count(*) filter (role = 'agent_dispatch') as n1, count(*) filter (role = 'backend_engineer') as n2 from a) select round(2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) - 1, 9) as delta from c")
+def cliffs_delta(spark: SparkSession, base: str) -> DataFrame:
+    rows = _lessons(spark, base, "role", "confidence").filter("confidence between 0 and 1")
+    return evaluation.cliffs_delta(rows, "role", "confidence", "agent_dispatch", "backend_engineer").select(F.round("delta", 9).alias("delta"))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, base: str) -> DataFrame:
     v, b = _rankers(spark, base)
@@ -631,19 +734,20 @@ def stats_cube(spark: SparkSession, base: str) -> DataFrame:
     return rows.select(F.coalesce("item_kind", F.lit("all")).alias("item_kind"), F.coalesce("source_type", F.lit("all")).alias("source_type"), "n", "active")
 
 
-@query("pools_are_disjoint", "select 0::bigint as repeated")
-def pools_are_disjoint(spark: SparkSession, base: str) -> DataFrame:
+@query("expanded_pools", f"with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS.split('ranked as (')[0].replace('pool as (', 'pool0 as (', 1)} {EXPANDED} select query_id, id, case when g > 0 then 'graph' else 'ann' end as retrieval_source from pool")
+def expanded_pools(spark: SparkSession, base: str) -> DataFrame:
+    """The candidate pools: each lesson once a query, the expanded ones beside the plain ones."""
     lessons = _all(spark, base)
-    pools = retrieval.pools(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), RecallConfig(expand_weight=0.2, entity_weight=0.1), 10)
-    return pools.groupBy("query_id", "id").count().agg(F.sum((F.col("count") > 1).cast("long")).alias("repeated"))
+    config = RecallConfig(expand_weight=0.2, expand_depth=2, expand_per_node=3)
+    return retrieval.pools(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), config, 10).select("query_id", "id", "retrieval_source")
 
 
-@query("expansion_is_additive", "select 0::bigint as lost")
-def expansion_is_additive(spark: SparkSession, base: str) -> DataFrame:
+@query("entity_lookup", f"with {L}, {SEEN} select id, importance from seen where list_contains(from_json(json_extract(metadata, '$.entity_keys'), '[\"varchar\"]'), (select min(k) from (select unnest(from_json(json_extract(metadata, '$.entity_keys'), '[\"varchar\"]')) as k from seen where json_extract(metadata, '$.entity_keys') is not null))) order by importance desc nulls last, created_at desc nulls last, id limit 10")
+def entity_lookup(spark: SparkSession, base: str) -> DataFrame:
+    """The top lessons of the first entity key there is."""
     lessons = _all(spark, base)
-    plain = retrieval.pools(_ask(lessons), lessons, None, CONFIG, 10).select("query_id", "id")
-    more = retrieval.pools(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), RecallConfig(expand_weight=0.2), 10).select("query_id", "id")
-    return plain.exceptAll(more).agg(F.count("*").alias("lost"))
+    keys = see.visible(lessons, CONFIG).select(F.explode(F.from_json(F.get_json_object("metadata", "$.entity_keys"), "array<string>")).alias("k"))
+    return retrieval.recall_entity(lessons, keys.agg(F.min("k")).first()[0] or "", CONFIG, 10).select("id", "importance")
 
 
 @query("graph_probes", f"with {L}, g as (select id, embedding from l where {GOOD}), p as (select distinct source_id, target_id from mem_edge) select source_id, target_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as similarity from p join g a on a.id = source_id join g b on b.id = target_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) < 0.7")
@@ -657,13 +761,15 @@ def hash_arms(spark: SparkSession, base: str) -> DataFrame:
     return _lessons(spark, base).select("id", evaluation.arm(F.col("id")).alias("arm"))
 
 
-@query("weight_grid")
+@query("weight_grid", f"""with {RANKERS}, w as (select i / 10 as weight from range(11) t(i)), rel as (select query_id, id from b where rank <= 3), n as (select query_id, count(*) as n from rel group by query_id),
+g as (select weight, query_id, lesson_id as id from c, w qualify row_number() over (partition by weight, query_id order by weight * coalesce(raw_vec_score, 0) + (1 - weight) * coalesce(raw_bm25_score, 0) desc nulls last, lesson_id) <= 10),
+h as (select weight, query_id, count(*) as h from g join rel using (query_id, id) group by all) select weight, round(avg(coalesce(h, 0) / n), 9) as recall from n cross join w left join h using (weight, query_id) group by weight""")
 def weight_grid(spark: SparkSession, base: str) -> DataFrame:
     from lorekeep.sources.tables import latest
 
     c = latest(table(spark, base, "recall_candidate"), ["query_id", "lesson_id"], "scored_at").select("query_id", F.col("lesson_id").alias("id"), F.coalesce("raw_vec_score", F.lit(0.0)).alias("a"), F.coalesce("raw_bm25_score", F.lit(0.0)).alias("b"))
     _, text_rank = _rankers(spark, base)
-    return evaluation.weight_grid(c, text_rank.filter("rank <= 3"), "a", "b")
+    return evaluation.weight_grid(c, text_rank.filter("rank <= 3"), "a", "b").withColumn("recall", F.round("recall", 9))
 
 
 @query("dispatch_relation")
@@ -682,4 +788,4 @@ def stream_sessions(spark: SparkSession, base: str) -> DataFrame:
 @query("stream_first_events", "select distinct id from agent_lesson")
 def stream_first_events(spark: SparkSession, base: str) -> DataFrame:
     rows = streams.source(spark, f"{base}/agent_lesson.parquet").select("id", "updated_at")
-    return streams.drain(streams.first_events(rows, ["id"], "updated_at", "36500 days"), _name("first"), mode="append").select("id")
+    return streams.first_to_table(rows, ["id"], _name("first")).select("id")

@@ -14,8 +14,8 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the greatest ``order`` of each key; rows with a null in ``order`` come last.
 
-    A hash aggregate with map-side combine, so a key delivered very often is reduced before the
-    shuffle. Equal ``order`` values are decided by the remaining columns, so the result is stable.
+    An aggregate with map-side combine, so a key delivered very often is reduced before the
+    shuffle; rows are sorted by key on both sides of it, as strings can't be hash aggregated. Equal ``order`` values are decided by the remaining columns, so the result is stable.
     Pass only the columns that are needed: every column is shuffled.
     """
     rest = [c for c in df.columns if c not in keys and c != order]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import lifecycle, writes
+from lorekeep.session import shared_folder
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -23,14 +24,33 @@ def source(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is available into a memory table and returns the table."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, name: str, mode: str = "append", new: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream over all that is available into a table in the shared folder, and returns the table.
+
+    Nothing is held on the driver. Each micro-batch writes a folder of its number, so a repeated batch
+    replaces its rows; in ``complete`` mode each batch replaces the table. ``new`` picks a batch's rows given
+    what the batches before have written.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    at = f"{shared_folder(spark)}/streams/{name}"
+
+    def rows(before: int) -> DataFrame:
+        return spark.read.schema(schema.add("_batch", "long")).parquet(f"{at}/rows").filter(F.col("_batch") < before).drop("_batch")
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = new(batch, rows(number)) if new else batch
+        number = 0 if mode == "complete" else number
+        out.write.mode("overwrite").parquet(f"{at}/rows/_batch={number}")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{at}/rows/_batch=-1")
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{at}/checkpoint").start().awaitTermination()
+    return rows(1 << 62)
+
+
+def first_to_table(events: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The first event of each key, however late a repetition comes: the written table is the state, not the stream's memory."""
+    return drain(events, name, new=lambda batch, before: batch.dropDuplicates(keys).join(before.select(*keys), keys, "left_anti"))
 
 
 def outcomes(events: DataFrame) -> DataFrame:

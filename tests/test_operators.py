@@ -156,11 +156,12 @@ def test_statistics(spark):
     assert (round(low, 4), round(high, 4)) == (0.4902, 0.9433)
 
 
-def test_consolidate_compares_all_active_lessons(spark):
+def test_consolidate_compares_the_first_candidates_or_all(spark):
     axis = lambda k: [float(i == k) for i in range(32)]
     important = [lesson(i, importance=5, embedding=axis(i)) for i in range(1, 26)]
-    df = lessons(spark, *important, *[lesson(i, importance=1, embedding=axis(30)) for i in (40, 41)], lesson(42, importance=1, role="other", embedding=axis(30)), lesson(43, role=None, embedding=axis(30)))
-    assert [(r.canonical_id, r.member_ids) for r in lifecycle.consolidate(df, 0.92, 1, 32).collect()] == [(40, "41")]
+    df = lessons(spark, *important, *[lesson(i, importance=1, embedding=axis(30)) for i in (40, 41)], lesson(44, state="archived", embedding=axis(30)), lesson(42, importance=1, role="other", embedding=axis(30)), lesson(43, role=None, embedding=axis(30)))
+    assert [(r.canonical_id, r.member_ids) for r in lifecycle.consolidate(df, 0.92, 1, 32, every=True).collect()] == [(40, "41")]
+    assert lifecycle.consolidate(df, 0.92, 1, 32).count() == 0
 
 
 def test_locate_ranks_every_match(spark):
@@ -169,3 +170,66 @@ def test_locate_ranks_every_match(spark):
     config = RecallConfig(**{**RecallConfig().__dict__, "vec_weight": 0.0, "dim": 4})
     got = navigate.locate(asked, df, None, config, budget=40).collect()
     assert max(got, key=lambda r: r.score).id == 60 and sum(r.chars for r in got) <= 40
+
+
+def test_hub_cap_counts_unseen_nodes_only(spark):
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.9), (2, 3, 0.8), (2, 4, 0.7)], "source_id long, target_id long, weight float").withColumns({"valid_until": F.lit(None).cast("timestamp"), "edge_kind": F.lit("causal")})
+    anchors = spark.createDataFrame([(1, 1)], "query_id long, id long")
+    got = {r.id: round(r.graph_score, 4) for r in graph.expand(edges, anchors, 2, 1).collect()}
+    assert got == {2: 0.9, 3: 0.72}
+
+
+def test_expanded_candidates_keep_their_cosine(spark):
+    df = lessons(spark, lesson(1), *[lesson(i, embedding=[1.0, 0.1, 0.0, 0.0]) for i in range(10, 60)], lesson(2, embedding=[0.6, 0.8, 0.0, 0.0]))
+    edges = spark.createDataFrame([(1, 2, 0.5)], "source_id long, target_id long, weight float").withColumns({"valid_until": F.lit(None).cast("timestamp"), "edge_kind": F.lit("causal")})
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], None)], "query_id long, v array<float>, text string")
+    config = RecallConfig(dim=4, now=T, expand_weight=0.5, ef_search=10)
+    pool = {r.id: r for r in retrieval.pools(asked, df, edges, config, 1).collect()}
+    assert pool[2].retrieval_source == "graph" and pool[2].vec_score == pytest.approx(0.6) and len(pool) == 11
+
+
+def test_recall_router_takes_any_signal(spark):
+    df = lessons(spark, lesson(1, topic="alpha"), lesson(2, embedding=[0.0, 1.0, 0.0, 0.0], topic="alpha beta"), lesson(3, embedding=None, topic="beta"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], None), (2, None, "beta"), (3, [0.0, 1.0, 0.0, 0.0], "alpha"), (4, None, None)], "query_id long, v array<float>, text string")
+    config = RecallConfig(dim=4, now=T)
+    for hybrid in (True, False):
+        got = retrieval.recall_lessons(asked, df, None, config, 10, hybrid=hybrid).collect()
+        assert {r.id for r in got if r.query_id == 2} == {2, 3}
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 1][0] == 1
+        assert {r.query_id for r in got} == {1, 2, 3}
+    near = retrieval.recall_lessons(asked.filter("query_id = 1"), df, None, config, 10, min_score=0.5).collect()
+    assert [r.id for r in near] == [1]
+
+
+def test_expand_walks_and_previews(spark):
+    df = lessons(spark, lesson(1, metadata='{"lang": "en", "x": 1}'), lesson(2, lesson_text="b" * 80), lesson(3), lesson(4, is_active=False), lesson(5))
+    edges = spark.createDataFrame([(1, 2, 0.9, "A"), (3, 2, 0.9, "A"), (1, 4, 0.9, "A"), (1, 5, 0.1, "A")], "source_id long, target_id long, weight float, relation_type string").withColumn("valid_until", F.lit(None).cast("timestamp"))
+    seeds = spark.createDataFrame([(1,), (4,)], "id long")
+    got = {r.id: r for r in navigate.expand(df, edges, seeds, 2, fields=["lang"]).collect()}
+    assert set(got) == {1, 2, 3} and got[1].neighbour_ids == [2, 3] and got[1].neighbour_previews[0] == "b" * 50
+    assert got[1].detail == '{"lang":"en"}' and got[2].detail is None and got[2].path == "graph_expand" and got[2].neighbour_ids is None
+    assert got[3].running_chars == sum(len(r.content) for r in got.values())
+    assert set(r.id for r in navigate.expand(df, edges, seeds, 1).collect()) == {1, 2}
+    assert navigate.expand(df, edges, seeds.limit(0)).count() == 0
+
+
+def test_quantiles_and_staleness(spark):
+    values = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 10.0, None)], "x double")
+    assert lifecycle.quantiles(values, "x", {"a": 0.5, "b": 0.9}).first().asDict() == {"a": 2.0, "b": pytest.approx(7.6)}
+    assert lifecycle.quantiles(values.limit(0), "x", {"a": 0.5}).first().a is None
+    df = lessons(spark, lesson(1, confidence=0.1), lesson(2, confidence=0.9), lesson(3, state="archived"), lesson(4, confidence=0.1, importance=5), lesson(5, confidence=None)).withColumn("last_recalled_at", F.lit(None).cast("timestamp"))
+    config = RecallConfig(now=T + timedelta(100))
+    assert [(r.id, r.would_deprecate) for r in lifecycle.stale(df, config).orderBy("position").collect()] == [(1, True), (2, False), (4, False), (5, False)]
+    assert [r.id for r in lifecycle.mark_stale(df, config).collect()] == [1] and lifecycle.mark_stale(df, config, cap=0).count() == 0
+
+
+def test_more_statistics(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0), (3.0, 0.0), (None, 1.0)], "a double, b double")
+    assert evaluation.paired_t(df, "a", "b").first().t == pytest.approx(2 / (1 / 3**0.5))
+    table = spark.createDataFrame([("x", "p")] * 10 + [("y", "q")] * 10, "a string, b string")
+    assert tuple(evaluation.chi_square(table, "a", "b").first()) == (pytest.approx(20.0), 1)
+    arms = spark.createDataFrame([("l", 3.0), ("l", 2.0), ("r", 1.0), ("r", 2.0)], "arm string, v double")
+    assert evaluation.cliffs_delta(arms, "arm", "v", "l", "r").first().delta == pytest.approx(0.75)
+    assert df.select(evaluation.bonferroni(F.lit(0.02), 3).alias("p")).first().p == pytest.approx(0.06)
+    low, mid = evaluation.percentile_rank(df, "a", (0.5, 0.95)).first()
+    assert (low, mid) == (2.0, 3.0)

@@ -40,7 +40,7 @@ INCIDENT = (
 )
 INCIDENT_BOTH = (r"(crashed?|broken|corrupted?|panicked?|failed)", r"(caused|because of|due to|led to|resulted?|triggered?)")
 DECISION = (r"(decided|decision|verdict|approved|chosen)",)
-DECISION_OPEN = (r"<ADR[-\s]?\d", r"we (chose|selected|adopted|agreed|preferred?|decided)>")
+DECISION_OPEN = (START + r"ADR[-\s]?\d", r"we (chose|selected|adopted|agreed|preferred?|decided)" + END)
 DECISION_BOTH = (r"(chose|selected|adopted)", r"(instead|over|rather than|in favor of)")
 ENTITY = (
     r"is (?:a|the)(?:\s+\w+){0,2}\s+(?:service|tool|library|module|package|repo|repository|component|system|project)",
@@ -70,8 +70,8 @@ def _word(text: Column, *patterns: str) -> Column:
 
 
 def _open(text: Column, *patterns: str) -> Column:
-    """The same, with ``<`` and ``>`` marking where a word must begin or end."""
-    return text.rlike("(?is)" + "|".join(p.replace("<", START, 1).replace(">", END, 1) if p[:1] == "<" or p[-1:] == ">" else p for p in patterns))
+    """Whether any pattern occurs; patterns say for themselves where a word must begin or end."""
+    return text.rlike("(?is)" + "|".join(patterns))
 
 
 def classify_content_type(text: Column) -> Column:

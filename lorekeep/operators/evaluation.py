@@ -67,7 +67,8 @@ def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p value of a z statistic, in Arrow batches (no error function is built in)."""
-    return z.map(lambda v: None if v != v else 1 - erf(abs(v) / sqrt(2)))
+    # Few statistics reach this, one for each test, so the function is applied as it is.
+    return pd.Series([None if v is None or v != v else 1 - erf(abs(v) / sqrt(2)) for v in z], dtype="float64")
 
 
 def holm(tests: DataFrame, family: str, key: str, p: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.config import RecallConfig
-from lorekeep.functions import lexical, text
+from lorekeep.functions import lexical, sql, text
 from lorekeep.operators import evaluation, graph, lifecycle, navigate, retrieval, vectors, writes
 from lorekeep.operators import visibility as see
 from lorekeep.plans.catalogue import query
@@ -386,10 +386,17 @@ def navigate_budget(spark: SparkSession, base: str) -> DataFrame:
     return navigate.within_budget(ranked, 5000).select(F.col("query_id").alias("role"), "id", "chars", "running_chars")
 
 
-@query("navigate_locate")
+LOCATED = f"""tp as (select query_id, id, w / (w + 1) as b from (select query_id, id, len(list_filter({TOK.format('topic')}, lambda t: t = text)) * 1.0 + len(list_filter({TOK.format('lesson_text')}, lambda t: t = text)) * 0.4 as w from ask, seen where text is not null) where w > 0),
+vp as (select query_id, id, {COS} as s from ask, seen where {GOOD} and {GOOD.replace('embedding', 'v')}), {POOLS[POOLS.index('pool as ('):]},
+ns as (select query_id, f.id, left(lesson_text, 120) as preview, length(lesson_text) as chars, rrf + (0.8::double / 61 / 0.76) * (0.05 * importance / 5.0 + 0.05 * greatest(0.0, 1 - least(({NOW_US} - epoch_us(created_at)) / 1e6 / 7776000.0, 1.0))
+ + 0.05 * case when commit_sha is not null and verified_at is not null then 1.0 when commit_sha is not null then 0.4 else 0.0 end) as score from fused f join seen using (id)),
+nr as (select *, sum(chars) over (partition by query_id order by score desc nulls last, id rows unbounded preceding) as running_chars from ns)"""
+
+
+@query("navigate_locate", f"with {L}, {SEEN}, {ASK}, {LOCATED} select query_id, id, preview, round(score, 9) as score, chars, running_chars::bigint as running_chars from nr where running_chars <= 2000")
 def navigate_locate(spark: SparkSession, base: str) -> DataFrame:
     lessons = _all(spark, base)
-    return navigate.locate(_ask(lessons), lessons, None, CONFIG, 2000)
+    return navigate.locate(_ask(lessons), lessons, None, CONFIG, 2000).drop("path").withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -772,10 +779,26 @@ def weight_grid(spark: SparkSession, base: str) -> DataFrame:
     return evaluation.weight_grid(c, text_rank.filter("rank <= 3"), "a", "b").withColumn("recall", F.round("recall", 9))
 
 
-@query("dispatch_relation")
+@query("sql_functions", f"""with {L} select id, round((success_count + 1.0) / (success_count + fail_count + 2.0), 9) as confidence, greatest(1, ceil(octet_length(encode(lesson_text)) / 4.0))::bigint as tokens,
+ case when commit_sha is null then 0.0 when verified_at is null then 0.4 else 1.0 end::double as provenance, round(greatest(0.0, 1 - least(({NOW_US} - epoch_us(created_at)) / 1e6 / 7776000.0, 1.0)), 9) as recency,
+ md5(coalesce(role, '') || '|' || coalesce(topic, '') || '|' || coalesce(commit_sha, artifact_hash, '')) as hash, case when {GOOD} then 1.0::double end as self from l where is_active""")
+def sql_functions(spark: SparkSession, base: str) -> DataFrame:
+    """The registered functions, called from SQL over the current lessons."""
+    sql.register(spark)
+    name = _name("lessons").replace("-", "_")
+    rows = _lessons(spark, base, "success_count", "fail_count", "lesson_text", "commit_sha", "verified_at", "created_at", "role", "topic", "artifact_hash", "embedding", "is_active")
+    rows.withColumn("good", vectors.usable("embedding", 64)).createOrReplaceTempView(name)
+    return spark.sql(f"""select id, round(confidence_posterior(success_count, fail_count), 9) as confidence, token_cost(lesson_text) as tokens, provenance_score(commit_sha, verified_at) as provenance,
+        round(recency_score(created_at, timestamp_micros({NOW_US}), 90), 9) as recency, content_hash(role, topic, commit_sha, artifact_hash) as hash,
+        case when good then round(vector_cosine(embedding, embedding), 9) end as self from {name} where is_active""")
+
+
+@query("dispatch_relation", f"""with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS}, {FINAL}, {EDGES}, k as (select query_id, id, score from scored qualify row_number() over (partition by query_id order by score desc nulls last, id) <= 10),
+ u as (select source_id as a, target_id as b, weight from e union all select target_id, source_id, weight from e)
+ select query_id, b as id, round(max(0.7 * weight::double + 0.3 * score), 9) as score, 'relation' as path from k join u on a = id where b in (select id from seen) group by query_id, b""")
 def dispatch_relation(spark: SparkSession, base: str) -> DataFrame:
     lessons = _all(spark, base)
-    return navigate.dispatch(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), CONFIG, "relation")
+    return navigate.dispatch(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), CONFIG, "relation").withColumn("score", F.round("score", 9))
 
 
 @query("stream_sessions", "with e as (select event_id, user_id, epoch_us(ts) as t, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as b from events), s as (select *, sum(case when b is null or t - b > 1800000000 then 1 else 0 end) over (partition by user_id order by t, event_id rows unbounded preceding) as k from e) select user_id, min(t) as start_us, count(*) as n from s group by user_id, k")

@@ -145,7 +145,7 @@ def bootstrap_mean(values: DataFrame, column: str, rounds: int = 200, seed: int
     # Poisson(1) by inversion of its distribution function.
     w = sum(((u > c).cast("int") for c in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
     rows = values.select(F.col(column).cast("double").alias("x"), F.monotonically_increasing_id().alias("_id")).withColumn("r", weights).withColumn("w", w)
-    means = rows.groupBy("r").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+    means = rows.groupBy("r").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

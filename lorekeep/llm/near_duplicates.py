@@ -49,9 +49,9 @@ def shape(n: int, threshold: float) -> tuple[int, int]:
     """``(length, blocks)`` for ``n`` texts: places in a block, and blocks.
 
     The length grows with the logarithm of ``n`` so that blocks stay small, and the number of blocks
-    follows from it: 19 blocks up to a million texts, 57 up to a hundred million.
+    follows from it: 19 blocks up to a million texts, 34 up to ten million, 57 up to a hundred million.
     """
-    length = max(LEAST_LENGTH, math.ceil(math.log(max(1, n) / BUCKET) / -math.log(BACKGROUND)) if n > BUCKET else 0)
+    length = max(LEAST_LENGTH, math.ceil(math.log(max(1, n) / BUCKET) / -math.log(BACKGROUND) - 1e-9) if n > BUCKET else 0)
     return length, math.ceil(math.log(MISS) / math.log(1 - threshold**length))
 
 

@@ -158,3 +158,33 @@ def quality_error(text: Column, least: int = 20, most: float = 0.8) -> Column:
 def token_cost(text: Column) -> Column:
     """About a text's tokens: a quarter of its bytes, one at least."""
     return F.greatest(F.lit(1), F.ceil(F.octet_length(text) / 4)).cast("long")
+
+
+def valid_slug(key: Column) -> Column:
+    """Whether an entity key has a known kind and a plain slug; false for null."""
+    return F.coalesce(key.rlike(rf"\A(?:{'|'.join(SLUG_TYPES)}):[a-z0-9_]+\z"), F.lit(False))
+
+
+def iso_utc(at: Column) -> Column:
+    """A time as ISO 8601 in UTC, to the second; sessions run in UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+# The category of each question type; unanswerable questions and unknown types have their own.
+QUESTION_CATEGORIES = {
+    "single-session-user": "single_session_user",
+    "single-session-assistant": "single_session_user",
+    "single-session-preference": "single_session_user",
+    "multi-session": "multi_session_user",
+    "temporal-reasoning": "temporal_reasoning",
+    "knowledge-update": "knowledge_update",
+}
+ABSENT, USUAL = "multi_session_topic_absent", "single_session_user"
+
+
+def question_category(question: Column, kind: Column) -> Column:
+    """The category of a question, by its id's ending and its type."""
+    out = F.lit(USUAL)
+    for name, category in QUESTION_CATEGORIES.items():
+        out = F.when(kind == name, category).otherwise(out)
+    return F.when(question.endswith("_abs"), ABSENT).otherwise(out)

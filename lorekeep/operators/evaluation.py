@@ -37,6 +37,14 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return a.select("query_id").distinct().join(found, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / k).alias("overlap"))
 
 
+def overlap_summary(overlaps: DataFrame) -> DataFrame:
+    """``(queries, mean, median, p10)`` of the overlaps of :func:`overlap`, one row."""
+    from lorekeep.operators.lifecycle import quantiles
+
+    spread = quantiles(overlaps, "overlap", {"median": 0.5, "p10": 0.1})
+    return overlaps.agg(F.count("*").alias("queries"), F.avg("overlap").alias("mean")).crossJoin(spread)  # one row each
+
+
 def mean_ci(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """``(by, n, mean, low, high)``: the mean with 1.96 standard errors (sample variance)."""
     c = F.col(column).cast("double")

@@ -62,11 +62,15 @@ def causal_chain(edges: DataFrame, starts: DataFrame, depth: int, relations: lis
     return _walk(starts, use, depth).filter("depth > 0")
 
 
-def temporal_window(lessons: DataFrame, edges: DataFrame, starts: DataFrame, minutes: float = 15, unlinked: bool = True, k: int = 20) -> DataFrame:
+def temporal_window(lessons: DataFrame, edges: DataFrame, starts: DataFrame, minutes: float = 15, unlinked: bool = True, k: int = 20, role: str | None = None, project: int | None = None) -> DataFrame:
     """``(start, id, delta_sec, linked, edge_weight)``: lessons created within the window around each start, nearest first.
 
     Time is cut into cells of the window's width, so the band join is an equi-join on neighbouring cells.
     """
+    if role is not None:
+        lessons = lessons.filter(F.col("role") == role)
+    if project is not None:
+        lessons = lessons.filter(F.col("project_id") == project)
     width = F.lit(int(minutes * 60_000_000))
     mine = starts.select(F.col("id").alias("start"), F.unix_micros("created_at").alias("t0")).filter("t0 is not null")
     cell = F.floor(F.col("t0") / width)
@@ -111,6 +115,20 @@ def entity_candidates(lessons: DataFrame, keys: DataFrame, min_overlap: int, max
     return found.filter(F.col("key_overlap") >= min_overlap)
 
 
+def merged_metadata(edges: DataFrame) -> DataFrame:
+    """``(source_id, target_id, relation_type, metadata)``: the keys of all requests of an open edge, the latest value of each, as JSON.
+
+    Each key's latest value is found by an aggregate, so only an edge's distinct keys come together. Metadata that
+    is null or no object adds nothing; an edge without any has null.
+    """
+    keys = ["source_id", "target_id", "relation_type"]
+    base = active(edges).filter("source_id <> target_id").select("source_id", "target_id", F.upper("relation_type").alias("relation_type"), "metadata", F.struct("updated_at", "id").alias("o"))
+    pairs = base.select(*keys, "o", F.explode(F.from_json("metadata", "map<string,string>")).alias("k", "v"))
+    newest = pairs.groupBy(*keys, "k").agg(F.max(F.struct("o", "v")).alias("m"))
+    merged = newest.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.col("m.v").alias("v")))))).alias("metadata"))
+    return base.select(*keys).distinct().join(merged, keys, "left")
+
+
 def causal_edges(lessons: DataFrame, run: str = "source_run_id") -> DataFrame:
     """``(source_id, target_id, relation_type, edge_kind, weight)``: each lesson to the next of its run, by creation time."""
     order = Window.partitionBy(run).orderBy("created_at", "id")

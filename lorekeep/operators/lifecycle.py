@@ -234,6 +234,26 @@ def embedding_policy(lessons: DataFrame, dim: int, exempt: tuple[str, ...] = ("e
     return lessons.filter(F.col("content_type").isin(*exempt) & F.col("embedding").isNotNull()).groupBy("content_type").agg(F.count("*").alias("embedded"))
 
 
+def apply_embedding_policy(lessons: DataFrame, exempt: tuple[str, ...] = ("entity", "fact", "relation", "temporal")) -> DataFrame:
+    """The lessons without the vectors that the selective policy drops."""
+    drop = F.coalesce(F.col("content_type").isin(*exempt), F.lit(False))
+    return lessons.withColumn("embedding", F.when(~drop, F.col("embedding")))
+
+
+def counts_json(rows: DataFrame, key: str) -> DataFrame:
+    """``(counts)``: one JSON object of the number of rows of each value of a column of few values, keys in order."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n"))))).alias("counts"))
+
+
+def evict(lessons: DataFrame, ids: DataFrame, config: RecallConfig) -> DataFrame:
+    """The lessons with those of ``ids(id)`` superseded: closed and changed at ``now``, inactive. Unknown ids change nothing."""
+    marked = lessons.join(ids.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
+    gone, now = F.col("_gone").isNotNull(), F.lit(config.now)
+    changed = {"t_valid_to": now, "state": F.lit("superseded"), "is_active": F.lit(False), "updated_at": now, "state_changed_at": now}
+    return marked.withColumns({c: F.when(gone, v).otherwise(F.col(c)) for c, v in changed.items() if c in lessons.columns}).drop("_gone")
+
+
 def latest_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -122,6 +122,32 @@ def dispatch(queries: DataFrame, lessons: DataFrame, edges: DataFrame, config: R
     return found.select("query_id", "id", "score", F.lit(content_type or "hybrid").alias("path"))
 
 
+#: Rows that the second style of dispatch returns, and the seeds of its relations.
+DISPATCHED, SEEDS = 20, 10
+
+
+def dispatch_by_text(queries: DataFrame, lessons: DataFrame, edges: DataFrame, config: RecallConfig, content_type: str | None = None, budget: int = 2000, project: int | None = None) -> DataFrame:
+    """``(query_id, id, score, path)``: the second style of :func:`dispatch`, without budgets for entities and relations.
+
+    Entities are the 20 best by text; relations the 20 best neighbours of the ten best by text, over all edges.
+    Any other type takes the path of :func:`locate`.
+    """
+    if content_type not in ("entity", "relation"):
+        return locate(queries, lessons, edges, config, budget, project=project).select("query_id", "id", "score", F.lit("hybrid").alias("path"))
+    live = lessons.filter("is_active")
+    if project is not None:
+        live = live.filter(F.col("project_id") == project)
+    if content_type == "entity":
+        live = live.filter((F.col("content_type") == "entity") & (F.col("t_valid_to") == F.lit(OPEN)))
+        found = retrieval.text_pool(queries, live, DISPATCHED).withColumnRenamed("bm25_score", "score")
+    else:
+        seeds = retrieval.text_pool(queries, live, SEEDS).select("query_id", "id", F.col("bm25_score").alias("score"))
+        near = locate_related(seeds, edges.withColumn("valid_until", F.lit(None).cast("timestamp"))).join(live.select("id"), "id", "left_semi")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        found = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= DISPATCHED)
+    return found.select("query_id", "id", "score", F.lit(content_type).alias("path"))
+
+
 #: Mean radius of the earth in kilometres.
 EARTH_KM = 6371.0088
 

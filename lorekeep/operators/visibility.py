@@ -75,3 +75,8 @@ def json_contains(column: str, wanted: dict, path: str = "$"):
         else:
             out = out & (F.get_json_object(column, at) == (str(v).lower() if isinstance(v, bool) else str(v)))
     return F.coalesce(out, F.lit(False))
+
+
+def json_has(column: str, key: str):
+    """Whether a JSON text is an object with the key, be its value null or not."""
+    return F.coalesce(F.array_contains(F.json_object_keys(column), key), F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.config import OPEN
 from lorekeep.functions import text
 from lorekeep.operators import vectors
+from lorekeep.session import cut
 
 NEAR_DUPLICATE = 0.98
 
@@ -56,7 +57,8 @@ def ingest(batch: DataFrame, lessons: DataFrame, dim: int) -> tuple[DataFrame, D
 
     Refused are short or repetitive texts, vectors of another dimension, and near duplicates of an open lesson.
     """
-    rich = enrich(batch).withColumn("rejected", F.coalesce("rejected", F.when(F.col("embedding").isNotNull() & (F.size("embedding") != dim), "dimension")))
+    # Several passes follow, and the gates over the texts are dear.
+    rich = cut(enrich(batch).withColumn("rejected", F.coalesce("rejected", F.when(F.col("embedding").isNotNull() & (F.size("embedding") != dim), "dimension"))))
     twins = near_duplicates_of(rich.filter("rejected is null"), lessons, dim)
     refused = rich.filter("rejected is not null").select("id", F.col("rejected").alias("reason"), F.lit(None).cast("long").alias("existing_id"))
     refused = refused.unionByName(twins.select("id", F.lit("near_duplicate").alias("reason"), "existing_id"))

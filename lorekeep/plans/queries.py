@@ -15,6 +15,7 @@ from lorekeep.config import RecallConfig
 from lorekeep.functions import lexical, sql, text
 from lorekeep.operators import evaluation, graph, lifecycle, navigate, retrieval, vectors, writes
 from lorekeep.operators import visibility as see
+from lorekeep.plans.catalogue import SQL as SQL_OF
 from lorekeep.plans.catalogue import query
 from lorekeep.sources import files
 from lorekeep.sources.tables import current_lessons, table
@@ -284,12 +285,13 @@ def causal_chain(spark: SparkSession, base: str) -> DataFrame:
 @query(
     "temporal_window",
     f"""with {L}, n as (select s.id as start, o.id, abs(epoch_us(o.created_at) - epoch_us(s.created_at)) / 1e6 as delta_sec from l s join l o on o.id <> s.id
- and epoch_us(o.created_at) between epoch_us(s.created_at) - 900000000 and epoch_us(s.created_at) + 900000000 where s.id % 50 = 0)
-select start, id, delta_sec from n qualify row_number() over (partition by start order by delta_sec, id) <= 20""",
+ and epoch_us(o.created_at) between epoch_us(s.created_at) - 900000000 and epoch_us(s.created_at) + 900000000 where s.id % 50 = 0),
+g as (select a, b, max(weight) as w from (select source_id as a, target_id as b, weight from mem_edge union all select target_id, source_id, weight from mem_edge) group by all)
+select start, id, delta_sec, a is not null as linked, round(w::double, 6) as edge_weight from (select * from n qualify row_number() over (partition by start order by delta_sec, id) <= 20) left join g on a = start and b = id""",
 )
 def temporal_window(spark: SparkSession, base: str) -> DataFrame:
     lessons = _lessons(spark, base, "created_at")
-    return graph.temporal_window(lessons, table(spark, base, "mem_edge").distinct(), lessons.filter("id % 50 = 0")).select("start", "id", "delta_sec")
+    return graph.temporal_window(lessons, table(spark, base, "mem_edge").distinct(), lessons.filter("id % 50 = 0")).withColumn("edge_weight", F.round(F.col("edge_weight").cast("double"), 6))
 
 
 @query(
@@ -366,6 +368,20 @@ def edge_upsert_avg(spark: SparkSession, base: str) -> DataFrame:
     return graph.upsert(table(spark, base, "mem_edge").distinct(), "avg").withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "edge_metadata",
+    f"""with {EDGES}, b as (select source_id, target_id, upper(relation_type) as relation_type, metadata, updated_at, id from e where source_id <> target_id),
+p as (select *, unnest(json_keys(metadata)) as k from b where metadata is not null), v as (select source_id, target_id, relation_type, k, json_extract_string(metadata, '$.' || k) as v from p qualify row_number() over (partition by source_id, target_id, relation_type, k order by updated_at desc, id desc) = 1),
+m as (select source_id, target_id, relation_type, string_agg(k || '=' || v, ',' order by k) as entries from v group by all), d as (select distinct source_id, target_id, relation_type from b)
+select d.*, coalesce(entries, '') as entries from d left join m using (source_id, target_id, relation_type)""",
+)
+def edge_metadata(spark: SparkSession, base: str) -> DataFrame:
+    """The merged metadata of each open edge."""
+    merged = graph.merged_metadata(table(spark, base, "mem_edge").distinct())
+    entries = F.transform(F.array_sort(F.map_entries(F.from_json("metadata", "map<string,string>"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return merged.select("source_id", "target_id", "relation_type", F.coalesce(F.array_join(entries, ","), F.lit("")).alias("entries"))
+
+
 @query("relation_merge", "select source_id, target_id, upper(relation_type) as relation_type, round(max(weight)::double, 6) as confidence, count(*) as times from (select distinct * from mem_edge) group by all")
 def relation_merge(spark: SparkSession, base: str) -> DataFrame:
     return writes.merge_relations(table(spark, base, "mem_edge").distinct()).withColumn("confidence", F.round(F.col("confidence").cast("double"), 6))
@@ -576,6 +592,20 @@ def embedding_policy(spark: SparkSession, base: str) -> DataFrame:
     return lifecycle.embedding_policy(_lessons(spark, base, "content_type", "embedding"), 64)
 
 
+@query("policy_counts", f"with {L}, c as (select content_type, count(*) as n from l where content_type in ('entity', 'fact', 'relation', 'temporal') and embedding is not null group by content_type) select '{{' || string_agg('\"' || content_type || '\":' || n, ',' order by content_type) || '}}' as counts from c having count(*) > 0")
+def policy_counts(spark: SparkSession, base: str) -> DataFrame:
+    """What the selective policy drops, as one JSON object: before less after."""
+    lessons = _lessons(spark, base, "content_type", "embedding").filter("embedding is not null")
+    return lifecycle.counts_json(lifecycle.apply_embedding_policy(lessons).filter("embedding is null"), "content_type")
+
+
+@query("freshness_year", f"with {L} select id, round(greatest(0.0, 1 - least(({NOW_US} - epoch_us(coalesce(t_valid_from, created_at))) / 1e6 / 31536000.0, 1.0)), 9) as freshness, strftime(created_at at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created_iso from l")
+def freshness_year(spark: SparkSession, base: str) -> DataFrame:
+    rows = _lessons(spark, base, "t_valid_from", "created_at")
+    fresh = retrieval.recency(F.coalesce("t_valid_from", "created_at"), CONFIG, 365)
+    return rows.select("id", F.round(fresh, 9).alias("freshness"), text.iso_utc(F.col("created_at")).alias("created_iso"))
+
+
 @query("ingest_batches", "select source_origin, count(*) as batches, count(*) filter (where retired_at is null) as open, sum(max_id - coalesce(min_id, max_id))::bigint as width from memory_ingest_log group by source_origin")
 def ingest_batches(spark: SparkSession, base: str) -> DataFrame:
     log = table(spark, base, "memory_ingest_log")
@@ -609,6 +639,12 @@ def overlap_at_k(spark: SparkSession, base: str) -> DataFrame:
     return evaluation.overlap(v, b, 10)
 
 
+@query("overlap_summary", f"with {RANKERS}, o as (select v.query_id, count(b.id) / 10 as overlap from v left join (select * from b where rank <= 10) b on b.query_id = v.query_id and b.id = v.id where v.rank <= 10 group by v.query_id) select count(*) as queries, round(avg(overlap), 9) as mean, round(quantile_cont(overlap, 0.5), 9) as median, round(quantile_cont(overlap, 0.1), 9) as p10 from o")
+def overlap_summary(spark: SparkSession, base: str) -> DataFrame:
+    v, b = _rankers(spark, base)
+    return evaluation.overlap_summary(evaluation.overlap(v, b, 10)).withColumns({c: F.round(c, 9) for c in ("mean", "median", "p10")})
+
+
 ARMS = f"with {L}, s as (select role, confidence::double as x, success_count as s, success_count + fail_count as n from l where confidence between 0 and 1 and not isnan(confidence))"
 
 
@@ -793,6 +829,12 @@ def sql_functions(spark: SparkSession, base: str) -> DataFrame:
         case when good then round(vector_cosine(embedding, embedding), 9) end as self from {name} where is_active""")
 
 
+@query("dispatch_entity_text", f"with {L}, {ASK}, h as (select query_id, id, len(list_filter({TOK.format('topic')}, lambda t: t = text)) * 1.0 + len(list_filter({TOK.format('lesson_text')}, lambda t: t = text)) * 0.4 as w from ask, l where text is not null and is_active and content_type = 'entity' and epoch_us(t_valid_to) = 253370764800000000) select query_id, id, round(w / (w + 1), 6) as score, 'entity' as path from h where w > 0 qualify row_number() over (partition by query_id order by round(w, 6) desc, id) <= 20")
+def dispatch_entity_text(spark: SparkSession, base: str) -> DataFrame:
+    lessons = _all(spark, base)
+    return navigate.dispatch_by_text(_ask(lessons), lessons, table(spark, base, "mem_edge").distinct(), CONFIG, "entity").withColumn("score", F.round("score", 6))
+
+
 @query("dispatch_relation", f"""with {L}, {SEEN}, {ASK}, {TEXT_POOL}, {POOLS}, {FINAL}, {EDGES}, k as (select query_id, id, score from scored qualify row_number() over (partition by query_id order by score desc nulls last, id) <= 10),
  u as (select source_id as a, target_id as b, weight from e union all select target_id, source_id, weight from e)
  select query_id, b as id, round(max(0.7 * weight::double + 0.3 * score), 9) as score, 'relation' as path from k join u on a = id where b in (select id from seen) group by query_id, b""")
@@ -808,6 +850,24 @@ def stream_sessions(spark: SparkSession, base: str) -> DataFrame:
     return done.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
+VERSIONS = SQL_OF["bitemporal_versions"].replace("l as (select * from agent_lesson qualify row_number() over (partition by id order by updated_at desc) = 1)", "l as (select distinct id, content_hash, created_at from agent_lesson)")
+
+
+@query("stream_versions", VERSIONS)
+def stream_versions(spark: SparkSession, base: str) -> DataFrame:
+    """Versions from a stream of deliveries, each delivered state of a lesson once."""
+    rows = streams.source(spark, f"{base}/agent_lesson.parquet").select("id", "content_hash", "created_at", F.lit(None).cast("timestamp").alias("t_valid_from"))
+    written = streams.first_to_table(rows, ["id", "content_hash", "created_at"], _name("versions"))
+    out = writes.versions(written.distinct()).filter("created_at is not null")
+    return out.select("id", F.unix_micros("t_valid_from").alias("valid_from_us"), F.unix_micros("t_valid_to").alias("valid_to_us"))
+
+
+@query("stream_unexpired", "select id from agent_lesson where created_at is not null and (expires_at is null or expires_at > created_at)")
+def stream_unexpired(spark: SparkSession, base: str) -> DataFrame:
+    rows = streams.source(spark, f"{base}/agent_lesson.parquet").select("id", "created_at", "expires_at").filter("created_at is not null")
+    return streams.drain(streams.unexpired(rows), _name("unexpired")).select("id")
+
+
 @query("stream_first_events", "select distinct id from agent_lesson")
 def stream_first_events(spark: SparkSession, base: str) -> DataFrame:
     rows = streams.source(spark, f"{base}/agent_lesson.parquet").select("id", "updated_at")

@@ -86,6 +86,14 @@ def unexpired(rows: DataFrame, expires: str = "expires_at", at: str = "created_a
     return rows.withWatermark(at, late).filter(F.col(expires).isNull() | (F.col(expires) > F.col(at)))
 
 
+def version_stream(rows: DataFrame, name: str) -> DataFrame:
+    """Bitemporal versions of a stream of lessons: rows are written as they come, validity follows from the event times.
+
+    A late row thus closes the version before it and is closed by the next, as if it had come in time.
+    """
+    return writes.versions(drain(rows, name))
+
+
 def ingest_stream(batches: DataFrame, current: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], dim: int, checkpoint: str):
     """Starts continuous ingestion: each micro-batch is gated and enriched against the current lessons, then written.
 

@@ -76,3 +76,20 @@ def test_streams(spark, tmp_path):
     assert sorted(map(str, (r.s for r in once.collect()))) == ["None", "s"]
     late = streams.first_events(read(), ["s"], "at")
     assert streams.drain(late, f"late-{tmp_path.name}").count() == 2
+
+
+def test_small_functions(spark):
+    from lorekeep.config import RecallConfig
+    from lorekeep.functions import text
+    from lorekeep.operators import graph, lifecycle, visibility
+
+    one = spark.createDataFrame([("person:a_b", "q1", "multi-session", '{"a": null}'), ("person:A", "q2_abs", "multi-session", "[1]"), (None, "q3", "new", None)], "k string, q string, kind string, j string")
+    rows = one.select(text.valid_slug(F.col("k")).alias("ok"), text.question_category(F.col("q"), F.col("kind")).alias("c"), visibility.json_has("j", "a").alias("has")).collect()
+    assert [tuple(r) for r in rows] == [(True, "multi_session_user", True), (False, "multi_session_topic_absent", False), (False, "single_session_user", False)]
+    lessons = spark.createDataFrame([(1, T, OPEN, "draft", True, "entity", [1.0]), (2, T, OPEN, "draft", True, None, [1.0])], "id long, updated_at timestamp, t_valid_to timestamp, state string, is_active boolean, content_type string, embedding array<float>")
+    gone = {r.id: (r.state, r.is_active, r.t_valid_to) for r in lifecycle.evict(lessons, lessons.filter("id = 1").select("id"), RecallConfig(now=T)).collect()}
+    assert gone == {1: ("superseded", False, T), 2: ("draft", True, OPEN)}
+    assert {r.id: r.embedding for r in lifecycle.apply_embedding_policy(lessons).collect()} == {1: None, 2: [1.0]}
+    assert lifecycle.counts_json(lessons, "content_type").first().counts == '{"entity":1}'
+    edges = spark.createDataFrame([(1, 1, 2, "a", '{"x": 1, "y": 1}', T), (2, 1, 2, "A", '{"x": 2}', T + timedelta(1)), (3, 3, 4, "a", None, T)], "id long, source_id long, target_id long, relation_type string, metadata string, updated_at timestamp").withColumn("valid_until", F.lit(None).cast("timestamp"))
+    assert {r.source_id: r.metadata for r in graph.merged_metadata(edges).collect()} == {1: '{"x":"2","y":"1"}', 3: None}

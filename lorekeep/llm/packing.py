@@ -29,13 +29,14 @@ STEP_TOKENS = 65_536
 
 
 def token_counter(vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Callable[[], Callable[[str], int]]:
-    """Makes, on a worker, a function that counts a text's tokens."""
+    """Makes, on a worker, a function that counts a text's tokens. The vocabulary, under a megabyte, travels with the job."""
+    with open(vocabulary, "rb") as file:
+        lines = file.read().splitlines()
 
     def load() -> Callable[[str], int]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return lambda text: len(encoding.encode_ordinary(text))
 

@@ -28,7 +28,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append", new: Callable[[Dat
     """Runs a stream over all that is available into a table in the shared folder, and returns the table.
 
     Nothing is held on the driver. Each micro-batch writes a folder of its number, so a repeated batch
-    replaces its rows; in ``complete`` mode each batch replaces the table. ``new`` picks a batch's rows given
+    replaces its rows; in ``complete`` mode each batch replaces the table. A name used before goes on where its
+    stream stopped, so another stream needs another name. ``new`` picks a batch's rows given
     what the batches before have written.
     """
     spark, schema = stream.sparkSession, stream.schema

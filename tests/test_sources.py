@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,14 +69,14 @@ def test_streams(spark, tmp_path):
     at = [(1, "s", T), (2, "s", T + timedelta(minutes=10)), (3, "s", T + timedelta(minutes=90)), (4, None, T)]
     spark.createDataFrame(at, "id long, s string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "e"))
     read = lambda: streams.source(spark, str(tmp_path / "e"))
-    pairs = streams.drain(streams.co_occurrences(read(), read()), f"pairs-{tmp_path.name}")
+    pairs = streams.drain(streams.co_occurrences(read(), read()), f"pairs-{uuid4().hex}")
     assert [(r.source_id, r.target_id) for r in pairs.collect()] == [(1, 2)]
     kept = streams.unexpired(read().withColumns({"created_at": F.col("at"), "expires_at": F.when(F.col("id") == 1, F.col("at")).when(F.col("id") == 2, F.lit(OPEN))}))
-    assert sorted(r.id for r in streams.drain(kept, f"kept-{tmp_path.name}").collect()) == [2, 3, 4]
-    once = streams.first_to_table(read().unionByName(read()), ["s"], f"once-{tmp_path.name}")
+    assert sorted(r.id for r in streams.drain(kept, f"kept-{uuid4().hex}").collect()) == [2, 3, 4]
+    once = streams.first_to_table(read().unionByName(read()), ["s"], f"once-{uuid4().hex}")
     assert sorted(map(str, (r.s for r in once.collect()))) == ["None", "s"]
     late = streams.first_events(read(), ["s"], "at")
-    assert streams.drain(late, f"late-{tmp_path.name}").count() == 2
+    assert streams.drain(late, f"late-{uuid4().hex}").count() == 2
 
 
 def test_small_functions(spark):

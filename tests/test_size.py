@@ -1,7 +1,9 @@
 """Work that must not grow with queries times records: shared texts, grids of cells, groups in cells of their own."""
 
+import pytest
 from test_operators import lesson, lessons
 
+from lorekeep.config import RecallConfig
 from lorekeep.operators import retrieval
 
 ASK = "query_id long, v array<float>, text string"
@@ -14,3 +16,20 @@ def test_queries_of_one_text_are_matched_once(spark):
     assert texts.count() == 22 and texts.select("text_id").distinct().count() == 2
     assert sorted((r.text_id, r.id) for r in hits.collect()) == [(t, i) for t in (10, 30) for i in (1, 3, 5)]
     assert retrieval.text_pool(asked, rows, 2).count() == 44
+
+
+def test_vector_path_ranks_text_hits_in_cells(spark):
+    rows = lessons(
+        spark, *[lesson(i, topic="alpha" if i % 3 == 0 else "other", embedding=None if i % 5 == 0 else [1.0, float(i), 0.0, 0.0]) for i in range(1, 31)]
+    )
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 0.0, 0.0], "alpha"), (2, None, "alpha"), (3, [0.0, 1.0, 0.0, 0.0], None)], ASK)
+    got = {}
+    for r in retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 40).collect():
+        got.setdefault(r.query_id, []).append(r)
+    # With a vector: usable ones and hits; without: hits alone, at cosine 0.
+    assert [len(got[q]) for q in (1, 2, 3)] == [24 + 2, 10, 24]
+    assert all(r.vec_score == 0 for r in got[2]) and all(r.vec_score == 0 for r in got[1] if r.id % 5 == 0)
+    fresh = {r.id: r.score - r.vec_score for r in got[3]}
+    for r in got[1]:
+        assert r.score - r.vec_score == pytest.approx(fresh.get(r.id, r.score - 0.1) + (0.1 if r.id % 3 == 0 else 0), abs=1e-9)
+    assert [r.rank for r in sorted(got[1], key=lambda r: (-r.score, r.id))] == list(range(1, 27))

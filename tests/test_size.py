@@ -4,7 +4,7 @@ import pytest
 from test_operators import lesson, lessons
 
 from lorekeep.config import RecallConfig
-from lorekeep.operators import retrieval
+from lorekeep.operators import retrieval, vectors
 
 ASK = "query_id long, v array<float>, text string"
 
@@ -33,3 +33,9 @@ def test_vector_path_ranks_text_hits_in_cells(spark):
     for r in got[1]:
         assert r.score - r.vec_score == pytest.approx(fresh.get(r.id, r.score - 0.1) + (0.1 if r.id % 3 == 0 else 0), abs=1e-9)
     assert [r.rank for r in sorted(got[1], key=lambda r: (-r.score, r.id))] == list(range(1, 27))
+
+
+def test_grid_moves_few_bytes():
+    b, p = vectors._grid(15_000, 525_000, 100, 64, 100)
+    assert b * p >= 50 and p >= 525_000 // vectors.PART
+    assert 15_000 * p * (256 + 2000) + 525_000 * b * 256 < 1.5e9  # 100 parts of all queries were 3.8e9

@@ -1,5 +1,6 @@
 """Work that must not grow with queries times records: shared texts, grids of cells, groups in cells of their own."""
 
+import numpy as np
 import pytest
 from test_operators import lesson, lessons
 
@@ -39,3 +40,17 @@ def test_grid_moves_few_bytes():
     b, p = vectors._grid(15_000, 525_000, 100, 64, 100)
     assert b * p >= 50 and p >= 525_000 // vectors.PART
     assert 15_000 * p * (256 + 2000) + 525_000 * b * 256 < 1.5e9  # 100 parts of all queries were 3.8e9
+
+
+@pytest.mark.parametrize("cell", [4, 16_384])
+def test_only_rows_of_one_group_meet(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    g = [0] * 25 + [1] * 10 + [2] * 5
+    df = spark.createDataFrame([(i, g[i], [float(v) for v in x[i]]) for i in range(40)], "id long, g long, v array<float>")
+    found = {(r.query_id, r.id) for r in vectors.block_above(df.filter("id % 2 = 0"), df, 0.5, 3).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert found == {(a, b) for a in range(0, 40, 2) for b in range(40) if g[a] == g[b] and u[a] @ u[b] > 0.5}
+    assert vectors.block_above(df.limit(0), df, 0.5, 3).count() == 0
+    plan = vectors.block_above(df, df, 0.5, 3)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow [c#" in plan

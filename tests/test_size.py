@@ -5,7 +5,7 @@ import pytest
 from test_operators import lesson, lessons
 
 from lorekeep.config import RecallConfig
-from lorekeep.operators import retrieval, vectors
+from lorekeep.operators import lifecycle, retrieval, vectors
 
 ASK = "query_id long, v array<float>, text string"
 
@@ -54,3 +54,11 @@ def test_only_rows_of_one_group_meet(spark, monkeypatch, cell):
     assert vectors.block_above(df.limit(0), df, 0.5, 3).count() == 0
     plan = vectors.block_above(df, df, 0.5, 3)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow [c#" in plan
+
+
+def test_consolidation_of_all_in_cells_of_roles(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 3)
+    rows = lessons(spark, *[lesson(i, role="a" if i <= 8 else "b", embedding=[1.0, 0.001 * i, 0.0, 0.0]) for i in range(1, 13)])
+    got = lifecycle.consolidate(rows, 0.92, 10, 4, every=True).collect()
+    assert [(r.canonical_id, r["size"]) for r in got] == [(1, 8), (9, 4)]
+    assert sum(len(c) for c in [vectors.block_above(*[rows.selectExpr("id", "cast(1 as long) g", "embedding v")] * 2, 0.9, 4).collect()]) == 144

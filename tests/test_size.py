@@ -5,6 +5,7 @@ import pytest
 from test_operators import lesson, lessons
 
 from lorekeep.config import RecallConfig
+from lorekeep.functions import lexical
 from lorekeep.operators import lifecycle, retrieval, vectors
 
 ASK = "query_id long, v array<float>, text string"
@@ -62,3 +63,20 @@ def test_consolidation_of_all_in_cells_of_roles(spark, monkeypatch):
     got = lifecycle.consolidate(rows, 0.92, 10, 4, every=True).collect()
     assert [(r.canonical_id, r["size"]) for r in got] == [(1, 8), (9, 4)]
     assert sum(len(c) for c in [vectors.block_above(*[rows.selectExpr("id", "cast(1 as long) g", "embedding v")] * 2, 0.9, 4).collect()]) == 144
+
+
+@pytest.mark.parametrize("ranker", [lexical.bm25, lexical.tfidf_cosine])
+def test_ranked_texts_are_cut_in_each_part(spark, ranker):
+    docs = spark.createDataFrame([(i, "common " + ("rare " if i % 10 == 0 else "") + f"w{i} " * (i % 3)) for i in range(100)] + [(100, ""), (101, None)], "id long, t string")
+    asked = spark.createDataFrame([(1, "common common rare"), (2, "absent"), (3, "w7 common"), (4, "")], "q long, t string")
+    every, few = (ranker(docs, "id", "t", asked, "q", "t", k).collect() for k in (1000, 2))
+    best = lambda rows, q, k: sorted(((round(-r.score, 9), r.id) for r in rows if r.query_id == q))[:k]
+    assert [len([r for r in every if r.query_id == q]) for q in (1, 2, 3, 4)] == [100, 0, 100, 0]
+    assert len(few) <= 2 * 2 * 4 and all(best(few, q, 2) == best(every, q, 2) for q in (1, 3))
+    assert {i % 10 for _, i in best(every, 1, 10)} == {0} and best(every, 3, 1)[0][1] == 7
+
+
+def test_cosine_of_terms_in_every_document_is_zero(spark):
+    docs = spark.createDataFrame([(i, "common") for i in range(5)] + [(9, "common w")], "id long, t string")
+    got = lexical.tfidf_cosine(docs, "id", "t", spark.createDataFrame([(1, "common")], "q long, t string"), "q", "t", 10).collect()
+    assert sorted((r.id, r.score) for r in got) == [(i, 0.0) for i in (0, 1, 2, 3, 4, 9)]

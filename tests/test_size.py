@@ -80,3 +80,10 @@ def test_cosine_of_terms_in_every_document_is_zero(spark):
     docs = spark.createDataFrame([(i, "common") for i in range(5)] + [(9, "common w")], "id long, t string")
     got = lexical.tfidf_cosine(docs, "id", "t", spark.createDataFrame([(1, "common")], "q long, t string"), "q", "t", 10).collect()
     assert sorted((r.id, r.score) for r in got) == [(i, 0.0) for i in (0, 1, 2, 3, 4, 9)]
+
+
+def test_norms_know_terms_of_one_document_without_sending_them(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, "d")], "id long, t string")
+    got = {r.id: r.score for r in lexical.tfidf_cosine(docs, "id", "t", spark.createDataFrame([(1, "a z")], "q long, t string"), "q", "t", 5).collect()}
+    a, one = np.log(3 / 2), np.log(3)
+    assert got == pytest.approx({1: a / np.hypot(a, one), 2: 2 * a / np.hypot(2 * a, one)})

@@ -87,3 +87,10 @@ def test_norms_know_terms_of_one_document_without_sending_them(spark):
     got = {r.id: r.score for r in lexical.tfidf_cosine(docs, "id", "t", spark.createDataFrame([(1, "a z")], "q long, t string"), "q", "t", 5).collect()}
     a, one = np.log(3 / 2), np.log(3)
     assert got == pytest.approx({1: a / np.hypot(a, one), 2: 2 * a / np.hypot(2 * a, one)})
+
+
+def test_whole_query_texts_count(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = lessons(spark, lesson(1, lesson_text=words), lesson(2, lesson_text=words + " last"))
+    asked = spark.createDataFrame([(1, None, words + " last"), (2, None, words)], ASK)
+    assert sorted((r.query_id, r.id) for r in retrieval.text_pool(asked, rows, 10).collect()) == [(1, 2), (2, 1), (2, 2)]

@@ -94,3 +94,11 @@ def test_whole_query_texts_count(spark):
     rows = lessons(spark, lesson(1, lesson_text=words), lesson(2, lesson_text=words + " last"))
     asked = spark.createDataFrame([(1, None, words + " last"), (2, None, words)], ASK)
     assert sorted((r.query_id, r.id) for r in retrieval.text_pool(asked, rows, 10).collect()) == [(1, 2), (2, 1), (2, 2)]
+
+
+def test_long_texts_start_from_their_rarest_term(spark):
+    rows = lessons(spark, *[lesson(i, topic="common", lesson_text=f"common words {'rare' if i == 7 else 'usual'}") for i in range(1, 21)])
+    asked = spark.createDataFrame([(1, None, "rare common words"), (2, None, "common absent")], ASK)
+    _, hits = retrieval.text_hits(asked, rows)
+    assert [(r.text_id, r.id) for r in hits.collect()] == [(1, 7)]
+    assert retrieval.text_pool(asked, rows, None).collect()[0].id == 7

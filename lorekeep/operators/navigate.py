@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.config import OPEN, RecallConfig
-from lorekeep.operators import graph, retrieval, skew
+from lorekeep.operators import graph, retrieval, skew, vectors
 from lorekeep.operators.visibility import json_contains, visible
 from lorekeep.session import cut
 
@@ -41,11 +41,11 @@ def locate(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, conf
     seen = visible(lessons, config, project=project)
     if where:
         seen = seen.filter(json_contains("metadata", where))
+    if config.entity_weight <= 0 and (config.graph_weight <= 0 or edges is None):
+        return _located(queries, seen, config, budget, straddle)
     pool = retrieval.fuse(retrieval.pools(queries, seen, None, RecallConfig(**{**config.__dict__, "ef_search": ALL}), ALL // 4), config)
-    facts = seen.select("id", "importance", "created_at", "commit_sha", "verified_at", F.substring("lesson_text", 1, PREVIEW).alias("preview"), F.length("lesson_text").alias("chars"))
-    aux = NAVIGATE_AUX["importance"] * F.col("importance") / 5.0 + NAVIGATE_AUX["recency"] * retrieval.recency(F.col("created_at"), config)
-    aux = aux + NAVIGATE_AUX["provenance"] * retrieval.provenance(F.col("commit_sha"), F.col("verified_at"))
-    rows = pool.join(facts, "id").withColumn("score", F.col("rrf_score") + retrieval.AUX_SCALE * aux)
+    facts = seen.select("id", _aux(config).alias("aux"), F.substring("lesson_text", 1, PREVIEW).alias("preview"), F.length("lesson_text").alias("chars"))
+    rows = pool.join(facts, "id").withColumn("score", F.col("rrf_score") + F.col("aux"))
     if config.graph_weight > 0 and edges is not None:
         first = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "id")
         anchors = pool.withColumn("_r", F.row_number().over(first)).filter("_r <= 5").select("query_id", "id")
@@ -55,6 +55,37 @@ def locate(queries: DataFrame, lessons: DataFrame, edges: DataFrame | None, conf
     return out.withColumn("path", F.lit("hybrid"))
 
 
+def _aux(config: RecallConfig) -> Column:
+    """What importance, recency and provenance add to the fused score."""
+    aux = NAVIGATE_AUX["importance"] * F.col("importance") / 5.0 + NAVIGATE_AUX["recency"] * retrieval.recency(F.col("created_at"), config)
+    return retrieval.AUX_SCALE * (aux + NAVIGATE_AUX["provenance"] * retrieval.provenance(F.col("commit_sha"), F.col("verified_at")))
+
+
+def _located(queries: DataFrame, seen: DataFrame, config: RecallConfig, budget: int, straddle: bool) -> DataFrame:
+    """:func:`locate` without expansion: all matches are ranked inside cells, and only those that can fit the budget leave them."""
+    usable = lambda c: F.when(vectors.usable(c, config.dim), F.col(c)).alias("v")
+    seen = cut(seen.select("id", "topic", "lesson_text", usable("embedding"), _aux(config).alias("aux")))
+    asked = cut(queries.select("query_id", usable("v"), "text"))
+    texts, hits = retrieval.text_hits(asked, seen)
+    hits = cut(hits)
+    by_score = hits.groupBy("text_id", "bm25_score").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("text_id").orderBy(F.desc("bm25_score")).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = hits.join(by_score.select("text_id", "bm25_score", (F.coalesce(before, F.lit(0)) + 1).cast("double").alias("r")), ["text_id", "bm25_score"])
+    held = ranked.groupBy("id").agg(F.collect_list(F.struct("text_id", "bm25_score", "r")).alias("h"))
+    chars = F.coalesce(F.length("lesson_text"), F.lit(0)).cast("long").alias("chars")
+    records = cut(seen.select("id", "v", "aux", chars).join(held, "id", "left").select("id", "v", F.col("h.text_id").alias("texts"), F.col("h.bm25_score").alias("scores"), F.col("h.r").alias("ranks"), "aux", "chars"))
+    good = records.filter("v is not null").count()
+    sizes = hits.join(records.select("id", F.col("v").isNull().alias("bare")), "id").groupBy("text_id").agg(F.count("*").alias("n"), F.sum(F.col("bare").cast("int")).alias("bare"))
+    n = F.when(F.col("v").isNotNull(), F.lit(good) + F.coalesce("bare", F.lit(0))).otherwise(F.coalesce("n", F.lit(0)))
+    asked = cut(asked.join(texts, "query_id", "left").join(sizes, "text_id", "left").select("query_id", "v", "text_id", n.cast("long").alias("n")))
+    k = float(config.rrf_k)
+    found = vectors.block_budget(asked, records, budget, config.dim, k, config.vec_weight, config.bm25_weight)
+    score = F.when(F.col("base") > vectors.LAST / 2, F.col("base") + config.vec_weight / (k + F.col("vec_rank")))
+    preview = seen.select("id", F.substring("lesson_text", 1, PREVIEW).alias("preview"), F.length("lesson_text").alias("chars"))
+    rows = found.select("query_id", "id", score.alias("score")).join(preview, "id")
+    return within_budget(rows.select("query_id", "id", "preview", "score", "chars"), budget, straddle).withColumn("path", F.lit("hybrid"))
+
+
 def locate_newest(lessons: DataFrame, config: RecallConfig, content_type: str, budget: int, k: int = 50) -> DataFrame:
     """The newest ``k`` lessons of a type, cut where the budget is crossed (the crossing row is kept)."""
     newest = visible(lessons, config, types=[content_type]).orderBy(F.desc_nulls_last("created_at"), "id").limit(k)

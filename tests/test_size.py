@@ -6,7 +6,7 @@ from test_operators import lesson, lessons
 
 from lorekeep.config import RecallConfig
 from lorekeep.functions import lexical
-from lorekeep.operators import lifecycle, retrieval, vectors
+from lorekeep.operators import lifecycle, navigate, retrieval, vectors
 
 ASK = "query_id long, v array<float>, text string"
 
@@ -102,3 +102,23 @@ def test_long_texts_start_from_their_rarest_term(spark):
     _, hits = retrieval.text_hits(asked, rows)
     assert [(r.text_id, r.id) for r in hits.collect()] == [(1, 7)]
     assert retrieval.text_pool(asked, rows, None).collect()[0].id == 7
+
+
+@pytest.mark.parametrize("part", [3, 65_536])
+def test_locate_ranks_all_matches_but_moves_few(spark, monkeypatch, part):
+    monkeypatch.setattr(vectors, "PART", part)
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    rows = lessons(spark, *[lesson(i, topic="alpha" if i % 7 == 0 else "beta", lesson_text="t" * 50 + (" alpha" if i % 11 == 0 else ""), embedding=None if i % 13 == 0 else [float(v) for v in x[i]], importance=None if i % 17 == 0 else i % 5) for i in range(300)])
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], "alpha"), (2, None, "alpha"), (3, [0.0, 1.0, 0.0, 0.0], None), (4, None, "absent"), (5, None, None)], ASK)
+    config = RecallConfig(dim=4)
+    for budget, straddle in ((1000, False), (1000, True), (10**6, False)):
+        got = {(r.query_id, r.id): r for r in navigate.locate(asked, rows, None, config, budget, straddle=straddle).collect()}
+        # An edge table and a weight take the path that ranks every pair; no edge changes a score.
+        edges = spark.createDataFrame([], "source_id long, target_id long, edge_kind string, weight float, valid_until timestamp")
+        every = {(r.query_id, r.id): r for r in navigate.locate(asked, rows, edges, RecallConfig(dim=4, graph_weight=0.1), budget, straddle=straddle).collect()}
+        assert set(got) == set(every) and len(got) > 30
+        assert all(got[i].running_chars == every[i].running_chars and got[i].score == pytest.approx(every[i].score, abs=1e-12) for i in got)
+    seen = []
+    monkeypatch.setattr(vectors, "block_topk", lambda *a, **k: seen.append(a))
+    navigate.locate(asked, rows, None, config, 1000).count()
+    assert not seen

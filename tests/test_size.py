@@ -122,3 +122,14 @@ def test_locate_ranks_all_matches_but_moves_few(spark, monkeypatch, part):
     monkeypatch.setattr(vectors, "block_topk", lambda *a, **k: seen.append(a))
     navigate.locate(asked, rows, None, config, 1000).count()
     assert not seen
+
+
+def test_pools_take_visible_rows_once(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(retrieval, "visible", lambda rows, *a, f=retrieval.visible, **k: found.append(rows) or f(rows, *a, **k))
+    rows = lessons(spark, *[lesson(i, topic="alpha") for i in range(1, 6)])
+    edges = spark.createDataFrame([(1, 2, "causal", 0.9, None)], "source_id long, target_id long, edge_kind string, weight float, valid_until timestamp")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], "alpha")], ASK)
+    got = retrieval.recall_hybrid(asked, rows, edges, RecallConfig(dim=4, expand_weight=0.2), 3).collect()
+    plan = retrieval.pools(asked, rows, edges, RecallConfig(dim=4, expand_weight=0.2), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in got] == [1, 2, 3] and len(found) == 2 and "FlatMapGroupsInArrow" not in plan

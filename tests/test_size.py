@@ -133,3 +133,30 @@ def test_pools_take_visible_rows_once(spark, monkeypatch):
     got = retrieval.recall_hybrid(asked, rows, edges, RecallConfig(dim=4, expand_weight=0.2), 3).collect()
     plan = retrieval.pools(asked, rows, edges, RecallConfig(dim=4, expand_weight=0.2), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert [r.id for r in got] == [1, 2, 3] and len(found) == 2 and "FlatMapGroupsInArrow" not in plan
+
+
+def test_wide_rows_are_not_shuffled_for_their_latest(spark, tmp_path, monkeypatch):
+    from lorekeep.sources import tables
+
+    rows = [(i, i, f"old {i}") for i in range(40)] + [(3, 100, "new"), (5, None, "unknown"), (7, 1, "older")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "id long, at long, x string").write.parquet(path)
+    df = spark.read.parquet(path)
+    every = lambda d: sorted(d.collect())
+    got = tables.latest_wide(df, "id", "at")
+    assert every(got) == every(tables.latest(df, ["id"], "at")) and len(every(got)) == 40
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tables, "REPEATED", 2)
+    assert every(tables.latest_wide(df, "id", "at")) == every(got)
+    null = df.unionByName(spark.createDataFrame([(None, 1, "a"), (None, 2, "b")], "id long, at long, x string"))
+    assert [r.x for r in tables.latest_wide(null, "id", "at").filter("id is null").collect()] == ["b"]
+
+
+def test_visible_rows_are_not_kept_as_a_copy(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "cut", lambda df, f=retrieval.cut: kept.append(df.columns) or f(df))
+    rows = lessons(spark, *[lesson(i, topic="alpha") for i in range(1, 6)])
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], "alpha")], ASK)
+    assert retrieval.recall_hybrid(asked, rows, None, RecallConfig(dim=4), 3).count() == 3
+    assert retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 3).count() == 3
+    assert kept and not any("lesson_text" in c for c in kept)

@@ -62,7 +62,8 @@ def consolidate(lessons: DataFrame, similarity: float = 0.92, limit: int = 100,
     The canonical lesson is first by recall count, confidence and importance, then the oldest, then the least id;
     ``member_ids`` lists the others in that order.
     """
-    pairs = cut(similar_pairs(cut(candidates(lessons, dim, None if every else CANDIDATES * limit)), similarity, dim))
+    given = cut(candidates(lessons, dim, None if every else CANDIDATES * limit).select("id", "role", "embedding"))
+    pairs = cut(similar_pairs(given, similarity, dim))
     roots = clusters(pairs)
     members = roots.join(lessons, "id")
     order = F.struct(

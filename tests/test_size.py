@@ -160,3 +160,20 @@ def test_visible_rows_are_not_kept_as_a_copy(spark, monkeypatch):
     assert retrieval.recall_hybrid(asked, rows, None, RecallConfig(dim=4), 3).count() == 3
     assert retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 3).count() == 3
     assert kept and not any("lesson_text" in c for c in kept)
+
+
+def test_ingestion_keeps_verdicts_not_texts_and_finds_twins_once(spark, monkeypatch):
+    from lorekeep.operators import writes
+
+    kept, found = [], []
+    monkeypatch.setattr(writes, "cut", lambda df, f=writes.cut: kept.append(df.columns) or f(df))
+    monkeypatch.setattr(vectors, "block_above", lambda *a, f=vectors.block_above: found.append(a) or f(*a))
+    text = "Workers lose their leases when the clock of a host jumps, so renew them by a monotonic clock {}."
+    old = lessons(spark, lesson(1, embedding=[1.0, 0.0, 0.0, 0.0]))
+    new = lessons(spark, lesson(2, lesson_text=text.format(2), embedding=[1.0, 0.01, 0.0, 0.0]), lesson(3, lesson_text=text.format(3), embedding=[0.0, 1.0, 0.0, 0.0]), lesson(4, lesson_text="short"), lesson(5, lesson_text=text.format(5), embedding=[1.0]))
+    accepted, refused = writes.ingest(new, old, 4)
+    assert [(r.id, r.lesson_text) for r in accepted.collect()] == [(3, text.format(3))]
+    assert {(r.id, r.existing_id) for r in refused.collect()} == {(2, 1), (4, None), (5, None)}
+    assert len(found) == 1 and not any("lesson_text" in c for c in kept)
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan

@@ -177,3 +177,51 @@ def test_ingestion_keeps_verdicts_not_texts_and_finds_twins_once(spark, monkeypa
     assert len(found) == 1 and not any("lesson_text" in c for c in kept)
     plan = accepted._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("block", [3, 65_536])
+def test_search_leaves_records_where_they_lie(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "RECORDS", 7)
+    x = np.random.default_rng(3).normal(size=(60, 3)).round(1)
+    x[40:50] = x[30]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "id long, v array<float>").repartition(5)
+    found = vectors.block_topk(df.filter("id % 6 = 0").withColumnRenamed("id", "query_id"), df, 12, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan and "Coalesce" in plan
+    x = x.astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 60, 6):
+        s = np.round(u @ u[q], 12)
+        got = sorted((r.rank, r.id) for r in found.collect() if r.query_id == q)
+        assert got == list(enumerate(sorted(range(60), key=lambda i: (-s[i], i))[:12], 1))
+
+
+def test_text_hits_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HITS", 3)
+    rows = lessons(spark, *[lesson(i, topic="alpha beta" if i % 3 == 0 else "beta", lesson_text="alpha " * (i % 4)) for i in range(1, 31)])
+    asked = spark.createDataFrame([(1, None, "alpha"), (2, None, "beta alpha"), (3, None, "beta"), (4, None, "gamma")], ASK)
+    _, hits = retrieval.text_hits(asked, rows)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    held = {i for i in range(1, 31) if i % 3 == 0 or i % 4}
+    assert {(r.text_id, r.id) for r in hits.collect()} == {(t, i) for t in (1, 2) for i in held} | {(3, i) for i in range(1, 31)}
+    every = retrieval.text_pool(asked, rows, None).collect()
+    best = {(q, r.id) for q in (1, 2, 3) for r in sorted((r for r in every if r.query_id == q), key=lambda r: (-r.bm25_score, r.id))[:4]}
+    assert {(r.query_id, r.id) for r in retrieval.text_pool(asked, rows, 4).collect()} == best
+    monkeypatch.setattr(retrieval, "TEXTS", 1)
+    assert {(r.query_id, r.id) for r in retrieval.text_pool(asked, rows, 4).collect()} == best
+
+
+def test_vector_path_moves_neither_texts_nor_hits(spark, monkeypatch):
+    rows = lessons(spark, *[lesson(i, topic="alpha" if i % 3 == 0 else "other", embedding=None if i % 5 == 0 else [1.0, float(i), 0.0, 0.0]) for i in range(1, 31)])
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 0.0, 0.0], "alpha"), (2, None, "alpha"), (3, [0.0, 1.0, 0.0, 0.0], None), (4, None, None)], ASK)
+    kept = []
+    monkeypatch.setattr(retrieval, "cut", lambda df, f=retrieval.cut: kept.append(df.columns) or f(df))
+    found = retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 6)
+    every = sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect())
+    assert not any("ft" in c or "id" in c for c in kept) and "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+    assert [len([r for r in every if r[0] == q]) for q in (1, 2, 3, 4)] == [6, 6, 6, 0]
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    monkeypatch.setattr(vectors, "RECORDS", 4)
+    again = sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 6).collect())
+    assert [r[:3] for r in again] == [r[:3] for r in every] and [r[3] for r in again] == pytest.approx([r[3] for r in every], abs=1e-11)

@@ -45,6 +45,9 @@ _ROW = "|".join(
     )
 )
 _TABLE = rf"(?m)^(?:{_ROW})[ \t]*$"
+# What any row of cells holds; plain search for these is far faster than the pattern of rows.
+_CELL_MARKS = ("|", "\t", "  ", "<", "+")
+_CELL_RUN = rf",(?![ \t])[^,\n]{{0,{CELL}}},(?![ \t])|;(?![ \t])[^;\n]{{0,{CELL}}};(?![ \t])"
 _BROKEN = r"[�ÂÃ¢½¿ï°™€]"
 _MARKUP = r"</?[A-Za-z!][^<>\n]{0,300}>|\{[^{}\n]{0,80}\}"
 _BLOB_LENGTH, _BLOB = 32, r"^[A-Za-z0-9+/=_-]+$"
@@ -63,6 +66,12 @@ def _without(text: Column | str, mark: str) -> Column:
     return F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
+def _matched(text: Column, pattern: str, *marks: str, run: str | None = None) -> Column:
+    """Characters within matches of the pattern, each of which holds one of the marks or a match of ``run``; other texts are not searched."""
+    held = reduce(or_, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(held if run is None else held | text.rlike(run), F.length(text) - _left(text, pattern)).otherwise(F.lit(0))
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -112,11 +121,11 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
         _share(F.regexp_count(t, F.lit(r"[.!?:\"'»”)\]][ \t]*(?:\n|\z)")), F.col("n_lines")).alias("punctuated_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)^[ \t]*(?:[-*+•–—‣◦]|\d{1,3}[.)]|\[[ xX]\])[ \t]")), F.col("n_lines")).alias("bullet_lines"),
         _share(F.regexp_count(t, F.lit(r"(?m)(?:\.\.\.|…)[ \t]*$")), F.col("n_lines")).alias("ellipsis_lines"),
-        _share(n - _left(t, _TABLE), n).alias("table_text"),
+        _share(_matched(t, _TABLE, *_CELL_MARKS, run=_CELL_RUN), n).alias("table_text"),
         _share(n - _left(t, _ENTRY), n).alias("entry_text"),
-        _share(n - _left(t, _MARKUP), n).alias("markup_text"),
+        _share(_matched(t, _MARKUP, "<", "{"), n).alias("markup_text"),
         _share(F.length(F.array_join(F.filter("tokens", lambda w: (F.length(w) >= _BLOB_LENGTH) & w.rlike(_BLOB)), "")), n).alias("blob_text"),
-        _share(n - _left(t, _CODE), n).alias("code_text"),
+        _share(_matched(t, _CODE, "(cid:", "\\"), n).alias("code_text"),
         _share(broken, dense).alias("broken_text"),
     )
 

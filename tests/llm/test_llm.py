@@ -339,3 +339,17 @@ def test_text_without_vowels_is_measured_in_every_document(spark):
     got = {x.id: x for x in quality.kinds(quality.statistics(df, "id", "t")).collect()}
     assert got[1].common_words > 0.05 and got[1].vowelless_text > 0.8 and got[1].kind == "junk"
     assert got[2].common_words > 0.05 and got[2].vowelless_text == pytest.approx(63 / 75)
+
+
+def test_gated_patterns_count_what_they_match(spark):
+    from pyspark.sql import functions as F
+
+    from lorekeep.llm import quality
+
+    texts = ["a,b,c\nd,e,f", "a, b, c\nd, e", "x;y;z", "plain words", "a | b", "a\tb", "one  two", "+--+\n", "<tr>x", "{x}", "(cid:12) y", "\\u00e4", "a,\nb,c", ",,", "1,2,\n", "a;b,c;d,e", ""]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    pairs = [(quality._TABLE, quality._CELL_MARKS, quality._CELL_RUN), (quality._MARKUP, ("<", "{"), None), (quality._CODE, ("(cid:", "\\"), None)]
+    for pattern, marks, run in pairs:
+        got = df.select((F.length("t") - quality._left(t, pattern)).alias("a"), quality._matched(t, pattern, *marks, run=run).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and any(r.a for r in got)

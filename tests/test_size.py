@@ -225,3 +225,22 @@ def test_vector_path_moves_neither_texts_nor_hits(spark, monkeypatch):
     monkeypatch.setattr(vectors, "RECORDS", 4)
     again = sorted((r.query_id, r["rank"], r.id, r.score) for r in retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 6).collect())
     assert [r[:3] for r in again] == [r[:3] for r in every] and [r[3] for r in again] == pytest.approx([r[3] for r in every], abs=1e-11)
+
+
+@pytest.mark.parametrize("least", [-0.1, 0.0, 1e-9, 0.1, 0.3, 0.5, 0.7, 1.0, 1.1])
+def test_one_edge_says_which_cosines_reach_the_least(least):
+    edge = vectors._reaching(least)
+    near = [edge] if np.isfinite(edge) else []
+    for _ in range(3):
+        near += [np.nextafter(x, d) for x in near for d in (-9.0, 9.0)]
+    cos = np.concatenate([near, np.random.default_rng(3).uniform(-1, 1, 1000), least + np.linspace(-1e-7, 1e-7, 1001), least + np.linspace(-2e-12, 2e-12, 101)])
+    assert ((cos >= edge) == (np.clip(np.round(cos, 12), 0.0, 1.0).astype(np.float32) >= np.float32(least))).all()
+
+
+def test_least_score_holds_for_text_hits_and_bare_lessons(spark):
+    rows = lessons(spark, *[lesson(i, topic="alpha" if i % 2 else "beta", embedding=None if i == 5 else [1.0, float(i), 0.0, 0.0]) for i in range(1, 9)])
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], "alpha"), (2, None, "alpha"), (3, [1.0, 0.0, 0.0, 0.0], None)], ASK)
+    ids = lambda least: sorted((r.query_id, r.id) for r in retrieval.recall_vectors(asked, rows, None, RecallConfig(dim=4), 10, least).collect())
+    every = [(1, i) for i in range(1, 9)] + [(2, i) for i in (1, 3, 5, 7)] + [(3, i) for i in (1, 2, 3, 4, 6, 7, 8)]
+    assert ids(None) == ids(0.0) == every
+    assert ids(0.3) == [(q, i) for q in (1, 3) for i in (1, 2, 3)] and ids(1.1) == []

@@ -244,3 +244,12 @@ def test_least_score_holds_for_text_hits_and_bare_lessons(spark):
     every = [(1, i) for i in range(1, 9)] + [(2, i) for i in (1, 3, 5, 7)] + [(3, i) for i in (1, 2, 3, 4, 6, 7, 8)]
     assert ids(None) == ids(0.0) == every
     assert ids(0.3) == [(q, i) for q in (1, 3) for i in (1, 2, 3)] and ids(1.1) == []
+
+
+def test_queries_that_lack_rows_sort_no_scores(monkeypatch):
+    best = vectors._Best(3, 2)
+    best.add(2, np.zeros(2, np.int64), np.array([0.9, 0.8]), np.array([7, 8]))
+    scores = np.array([[-np.inf, 0.1, -np.inf, -1e290], [0.3, 0.2, 0.1, 0.2], [0.7, 0.85, 0.8, -np.inf]])
+    assert sorted(zip(*(x.tolist() for x in best.candidates(0, scores)), strict=True)) == [(0, 1), (0, 3), (1, 0), (1, 1), (1, 3), (2, 1), (2, 2)]
+    monkeypatch.setattr(vectors, "_first", None)  # few rows are taken without it
+    assert best.candidates(0, scores[:1])[1].tolist() == [1, 3]
